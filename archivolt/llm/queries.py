@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import byte_pair, mixing, similar_vectors
+from . import byte_pair, mixing, name_variants, set_pairs, similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,7 @@ WITH v AS (
   SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS sim
   FROM v a JOIN v b ON a.model = b.model AND a.chunk_id <> b.chunk_id
 ), r AS (
-  SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS n FROM s
+  SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS n FROM s
 )
 """
 
@@ -44,10 +44,56 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.similar_pairs(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "embedders"))
 
 
-@_query(_P1_SQL + "SELECT a AS chunk_id, b AS neighbour_id, round(sim, 6) AS similarity, n AS rank FROM r WHERE n <= 5 AND sim >= 0.9")
+@_query(_P1_SQL + "SELECT a AS chunk_id, b AS neighbour_id, round(sim, 4) AS similarity, n AS rank FROM r WHERE n <= 5 AND sim >= 0.9")
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = similar_vectors.similar_vectors(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "embedders"))
-    return rows.select("chunk_id", "neighbour_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    return rows.select("chunk_id", "neighbour_id", F.round("similarity", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_pairs(read_table(spark, sf_dir, "entities"))
+
+
+@_query()
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_groups(read_table(spark, sf_dir, "entities"))
+
+
+_P5_SQL = """
+WITH c AS (
+  SELECT DISTINCT concept_id, replace(lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))), 'ß', 'ss') AS m
+  FROM (SELECT concept_id, unnest(CAST(json_extract_string(tags, '$[*]') AS VARCHAR[])) AS t FROM concepts WHERE concept_id IS NOT NULL AND tags IS NOT NULL)
+  WHERE t IS NOT NULL
+  UNION
+  SELECT DISTINCT concept_id, lower(e ->> 'kind') || ':' || replace(lower(trim(regexp_replace(e ->> 'name', '\\s+', ' ', 'g'))), 'ß', 'ss')
+  FROM (SELECT concept_id, unnest(CAST(json_extract(entities, '$[*]') AS JSON[])) AS e FROM concepts WHERE concept_id IS NOT NULL AND entities IS NOT NULL)
+), n AS (SELECT concept_id, count(*) AS n FROM c WHERE m <> '' GROUP BY 1),
+p AS (SELECT a.concept_id AS a, b.concept_id AS b, count(*) AS s FROM c a JOIN c b ON a.m = b.m AND a.concept_id < b.concept_id WHERE a.m <> '' GROUP BY 1, 2)
+SELECT a AS concept_a, b AS concept_b{} FROM p JOIN n x ON x.concept_id = a JOIN n y ON y.concept_id = b
+WHERE s / (x.n + y.n - s) >= 0.6 - 1e-12
+"""
+
+
+def _concept_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_pairs.concept_sets(read_table(spark, sf_dir, "concepts"))
+
+
+@_query(_P5_SQL.format(""))
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = set_pairs.similar_records(_concept_sets(spark, sf_dir), "concept_id")
+    return rows.select(F.col("concept_id_a").alias("concept_a"), F.col("concept_id_b").alias("concept_b"))
+
+
+@_query(_P5_SQL.format(", round(s / (x.n + y.n - s), 6) AS similarity"))
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = set_pairs.similar_records(_concept_sets(spark, sf_dir), "concept_id")
+    return rows.select(F.col("concept_id_a").alias("concept_a"), F.col("concept_id_b").alias("concept_b"), F.round("similarity", 6).alias("similarity"))
+
+
+@_query()
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_pairs.record_classes(_concept_sets(spark, sf_dir), "concept_id")
 
 
 @_query()

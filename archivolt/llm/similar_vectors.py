@@ -17,7 +17,7 @@ about ``cell_rows`` vectors) the join is exact.
 Results for odd input: vectors that are null, of the wrong width, all zero, or
 hold a null, NaN or infinity take no part; nor do rows without chunk_id or of a
 model without a width. A chunk written twice counts once, with the vector that
-sorts first by digest if they differ. Similarities equal to nine digits are
+sorts first by digest if they differ. Similarities equal to six digits are
 ordered by chunk_id.
 Empty tables give no rows. Other columns are ignored.
 """
@@ -279,7 +279,7 @@ def similar_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_sim
     if min_similarity > 1:
         own = own.limit(0)
     every = own.unionByName(across).filter(F.col("chunk_id") != F.col("neighbour_id"))
-    order = Window.partitionBy("chunk_id").orderBy(F.desc(F.round("similarity", 9)), "neighbour_id")
+    order = Window.partitionBy("chunk_id").orderBy(F.desc(F.round("similarity", 6)), "neighbour_id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
