@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Titles and degrees, letters that do not decompose, legal forms, common words of
 # organisations, and short forms of given names.
@@ -19,6 +19,7 @@ BUSINESS = frozenset(
     "investments laboratories library logistics management manufacturing media ministry museum office partners pharma printing properties publishing railways research robotics school services shipping software solutions "
     "studios systems technologies textiles trading transport university ventures works console gateway index platform portal rollout warehouse".split()
 )
+CONTRACTIONS = {"mfg": "manufacturing", "intl": "international", "mgmt": "management", "svcs": "services", "svc": "services", "labs": "laboratories", "bldg": "building", "dept": "department", "mkt": "marketing", "ctr": "centre"}
 NICKNAMES = {
     "al": "albert alexander alfred", "alex": "alexander alexandra", "sasha": "alexander alexandra", "sandy": "alexander alexandra", "andy": "andrew andreas", "tony": "anthony antonio", "art": "arthur", "barb": "barbara", "ben": "benjamin",
     "benny": "benjamin", "bea": "beatrice", "bernie": "bernard", "bert": "albert robert", "bill": "william", "billy": "william", "will": "william", "willy": "wilhelm william", "willi": "wilhelm", "liam": "william", "bob": "robert", "bobby": "robert",
@@ -27,7 +28,7 @@ NICKNAMES = {
     "ted": "edward theodore", "ned": "edward", "eliza": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "fran": "francisca frances francis", "frank": "francis franklin", "paca": "francisca", "paquita": "francisca", "fred": "frederick alfred", "freddy": "frederick", "freddie": "frederick",
     "gabi": "gabriela", "gaby": "gabriela", "gabby": "gabriela", "geoff": "geoffrey", "gus": "augustus gustav", "hank": "henry", "harry": "henry harold", "hans": "johannes", "jack": "john", "jake": "jacob", "jim": "james", "jimmy": "james", "jen": "jennifer", "jenny": "jennifer", "jenn": "jennifer",
     "jess": "jessica", "jo": "josephine joanna", "josie": "josephine", "josy": "josephine", "joe": "joseph", "joey": "joseph", "jon": "jonathan", "jonny": "jonathan", "johnny": "john", "kate": "katherine", "katie": "katherine", "kathy": "katherine", "kay": "katherine", "ken": "kenneth", "larry": "lawrence lorenzo", "len": "leonard", "lenny": "leonard", "leo": "leonard leonardo", "lou": "louis louise",
-    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret", "matt": "matthew", "max": "maximilian maxwell", "mike": "michael", "mick": "michael", "mickey": "michael", "mia": "maria", "nat": "nathaniel natalie", "nick": "nicholas", "nicky": "nicholas", "nico": "nicholas", "pat": "patricia patrick", "patty": "patricia", "patti": "patricia", "tricia": "patricia", "trish": "patricia",
+    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret", "matt": "matthew", "max": "maximilian maxwell", "mike": "michael", "mick": "michael", "mickey": "michael", "mia": "maria", "nat": "nathaniel natalie", "nick": "nicholas", "nicky": "nicholas", "nico": "nicholas", "klaus": "nicholas", "claus": "nicholas", "pat": "patricia patrick", "patty": "patricia", "patti": "patricia", "tricia": "patricia", "trish": "patricia",
     "pete": "peter", "phil": "philip", "pina": "giuseppina", "giusy": "giuseppina", "giusi": "giuseppina", "ray": "raymond", "ron": "ronald", "ros": "rosalind", "roz": "rosalind", "rosie": "rosalind", "sally": "sarah", "sam": "samuel samantha", "sammy": "samuel samantha", "mandy": "amanda", "stef": "stefan", "steffen": "stefan", "steve": "steven stefan", "sue": "susan susanna", "susie": "susan susanna", "susan": "susanna",
     "suzy": "susanna", "sanna": "susanna", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tori": "victoria", "vicky": "victoria", "vicki": "victoria", "vic": "victor victoria", "vik": "viktor", "uli": "ulrike ulrich", "ulli": "ulrike ulrich", "ulla": "ulrike", "wally": "walter", "zack": "zachary", "lex": "alexander", "ximmy": "ximena", "tamy": "tamara", "tammy": "tamara", "kat": "katherine",
 }
@@ -73,21 +74,19 @@ def near_words(a: str, b: str) -> bool:
 
 
 def shortens(short: str, word: str) -> bool:
-    """Whether ``short`` abbreviates ``word``: its beginning, or its first letter and some letters of the rest in order."""
-    if not 2 <= len(short) < len(word) or short[0] != word[0]:
+    """Whether ``short`` abbreviates ``word``: its beginning, a fixed contraction, or four letters and more of it in order."""
+    if len(short) >= len(word) or len(short) < 3 or short[0] != word[0]:
         return False
-    if word.startswith(short):
-        return len(short) >= 3
-    if len(short) < 3 or (short.endswith("s") and len(short) >= 4 and word.startswith(short[:-1])):
-        return len(short) >= 4
+    if word.startswith(short) or CONTRACTIONS.get(short) == word:
+        return True
     rest = iter(word)
-    return all(c in rest for c in short) and not any(c in "aeiou" for c in short[1:-1] if c not in word[:2])
+    return len(short) >= 4 and all(c in rest for c in short) and not any(c in "aeiou" for c in short[2:-1])
 
 
 class Words:
     """Frequent words with their weights, and what a rarer word should have been."""
 
-    def __init__(self, weights: dict[str, int], ratio: int = 8):
+    def __init__(self, weights: dict[str, int], ratio: int = 4):
         self.weights, self.ratio = weights, ratio
         self.index: dict[str, list[str]] = {}
         for w, n in weights.items():
@@ -110,6 +109,11 @@ class Words:
     def established(self, word: str) -> bool:
         return self.weights.get(word, 0) >= 3
 
+    def comparable(self, a: str, b: str) -> bool:
+        """Whether both words are established and about as frequent, so that neither is a slip for the other."""
+        m, n = sorted((self.weights.get(a, 0), self.weights.get(b, 0)))
+        return m >= 3 and n < self.ratio * m
+
 
 @dataclass
 class Name:
@@ -122,7 +126,6 @@ class Name:
     middle: str = ""
     legal: str = ""
     weak: bool = False
-    forms: tuple[str, ...] = field(default=())
 
     @property
     def normal(self) -> str:
@@ -211,21 +214,20 @@ def read_thing(name: str, kind: str, words: Words) -> Name | None:
             s = next((b for b in sorted(BUSINESS) if abs(len(b) - len(t)) <= 1 and edits(t, b, 1) <= 1), t)
         mended.append(s if common(s) else t)
     if len(mended) == 1 and not common(mended[0]):
-        for cut in range(4, len(mended[0]) - 3):
-            tail = mended[0][cut:]
-            tail = tail if common(tail) else words.snap(tail) if len(tail) >= 5 else tail
-            if common(tail) and tail in BUSINESS | set(words.weights):
-                mended = [mended[0][:cut], tail]
-                break
+        whole = mended[0]
+        cuts = range(4, len(whole) - 3)
+        tails = [(c, whole[c:]) for c in cuts if common(whole[c:])] or [(c, words.snap(whole[c:])) for c in cuts if len(whole) - c >= 5 and common(words.snap(whole[c:]))]
+        if tails:
+            mended = [whole[: tails[0][0]], tails[0][1]]
     rest = [i for i, t in enumerate(mended) if not common(t) and len(t) >= 5 and not any(shortens(t, b) for b in BUSINESS)]
     at = min(rest, key=lambda i: (words.weights.get(mended[i], 0), -len(mended[i]))) if rest else max(range(len(mended)), key=lambda i: (not common(mended[i]), len(mended[i]), -i))
     beside = []
     for i, t in enumerate(mended):
         if i != at:
-            wide = [] if common(t) else [w for w in BUSINESS if shortens(t, w)]
+            wide = [] if common(t) else [CONTRACTIONS[t]] if t in CONTRACTIONS else [w for w in BUSINESS if len(t) >= 3 and w.startswith(t)]
             beside.append(wide[0] if len(wide) == 1 else t)
-    weak = bool(beside) and len(beside) == 1 and not legal and kind == "organization"
-    return Name(mended[at], tuple(beside), legal=legal, weak=False, forms=("short",) if weak else ())
+    letters = kind == "organization" and len(plain) == 1 and 3 <= len(plain[0]) <= 6 and not legal and not common(plain[0])
+    return Name(mended[at], tuple(beside), legal=legal, weak=letters)
 
 
 def same_word(a: str, b: str) -> bool:
@@ -256,7 +258,7 @@ def same_person(a: Name, b: Name, words: Words) -> bool:
         return True
     for x in a.words:
         for y in b.words:
-            if min(len(x), len(y)) >= 4 and not (words.established(x) and words.established(y)) and edits(x, y, 1) <= 1:
+            if min(len(x), len(y)) >= 4 and not words.comparable(x, y) and edits(x, y, 1) <= 1:
                 return True
     return False
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import byte_pair, mixing, name_variants, set_pairs, similar_vectors
+from . import byte_pair, mixing, name_variants, scanned_text, set_pairs, similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.variant_groups(read_table(spark, sf_dir, "entities"))
 
 
+@_query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned_text.noisy_lines(read_table(spark, sf_dir, "extracts"))
+
+
+@_query()
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned_text.paragraphs(read_table(spark, sf_dir, "extracts"))
+
+
 _P5_SQL = """
 WITH c AS (
   SELECT DISTINCT concept_id, replace(lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))), 'ß', 'ss') AS m
