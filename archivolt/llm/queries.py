@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import byte_pair, mixing, name_variants, scanned_text, set_pairs, similar_vectors
+from . import abuse, byte_pair, mixing, name_variants, scanned_text, set_pairs, similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,22 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def _documents_and_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "abuse_labels")
+
+
+@_query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive_documents(*_documents_and_labels(spark, sf_dir)).select("doc_id")
+
+
+@_query()
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(*_documents_and_labels(spark, sf_dir))
+
+
+@_query()
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_by_source(*_documents_and_labels(spark, sf_dir))
