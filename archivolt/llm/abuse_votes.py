@@ -74,7 +74,7 @@ _YOU = re.compile(
 ).search
 _DU = re.compile(r"\bdu (?:bist|hast|wirst|warst|kannst|willst|sollst|musst|wohnst|schlafst|parkst|lebst|doch|ein|so)\b").search
 _PERSON = re.compile(
-    r"\b(?:you|your|her|him|his|she|he|me|my|i|us|we|tu|toi|te|ton|moi|je|elle|il|ils|elles|dich|dir|mir|ich|mich|sie|er|ihn|ihr|ella|el|yo|ti|tuvieron|conmigo)\b|quito la ropa|zog sich|se deshabill"
+    r"\b(?:you|your|her|him|his|she|he|me|my|i|us|we|tu|toi|te|ton|moi|je|elle|il|ils|elles|dich|dir|mir|ich|mich|sie|er|ihn|ihr|ella|el|yo|ti|tuvieron|conmigo)\b|quito la ropa|zog sich|se deshabill|\b\w{2,}(?:arte|erte|irte|ame|eme)\b"
 ).search
 _SLIGHTED = re.compile(rf"you (?:are |\w+ )?(?:\w+ )?(?:{'|'.join(sorted(SLIGHTS))}) \w+|(?:du|tu|eres|es) (?:\w+ ){{0,3}}(?:{'|'.join(sorted(SLIGHTS))})\b").search
 
@@ -95,7 +95,7 @@ THREAT = Pattern(
     r"(?:burn|tear|blow) (?:down )?(?:the|their|your) houses?|you(?: will|'ll) (?:bleed|regret)"
 )
 SEXUAL = Pattern(
-    r"\bundress\w*|\bnaked\b|\btopless\b|\bnudes?\b|\bthighs\b|\bunderwear\b|\bmoan\w*|turned on|(?:had|having|have|has) sex|\bsex (?:with|behind|on|in)\b|every inch|went inside|blouse|in bed\b|\blick\w*|deshabill\w*|\bnue?s?\b|\blecher\b|envie de toi|firent l amour|faire l amour|"
+    r"\bundress\w*|\bnaked\b|\btopless\b|\bnudes?\b|\bthighs\b|\bhips\b|begged for more|\bunderwear\b|\bmoan\w*|turned on|(?:had|having|have|has) sex|\bsex (?:with|behind|on|in)\b|every inch|went inside|blouse|in bed\b|\blick\w*|deshabill\w*|\bnue?s?\b|\blecher\b|envie de toi|firent l amour|faire l amour|"
     r"\bauszieh\w*|\bzog sich aus\b|\bnackt\b|nacktbild\w*|uberall kussen|\bsex\b|\bsexo\b|desnud[ao]s?\b|desvestir\w*|besarte|muy caliente|quito la ropa|tetas|\bporno?\b|orgasm\w*|\bhorny\b|\bcock\b|\bpussy\b"
 )
 GROUP = Pattern(
