@@ -1,6 +1,6 @@
 """Registered queries of the engine's own operators."""
 
-from . import orphan_queries  # noqa: F401
+from . import manifest_queries, orphan_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
