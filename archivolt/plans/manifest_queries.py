@@ -226,21 +226,31 @@ def j5_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.live_concepts(read_table(spark, sf_dir, "concepts")).join(texts, "source_hash", "left_anti").select("concept_id")
 
 
-_RUN = "CASE WHEN inode % 5 = 0 THEN size + 1 ELSE size END"
+_FIRST = FILES.replace("f AS (", "o AS (").replace("-epoch_us", "epoch_us")
+
+
+def _first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest recorded state of each path, as a census before later scans."""
+    rows = read_table(spark, sf_dir, "files").filter(F.col("path").isNotNull())
+    order = F.struct(-catalogue.newest_first(F.col("last_seen")), F.col("hash"), F.col("scan_status"))
+    first = rows.groupBy("path").agg(F.min_by(F.struct(*[F.col(c) for c in catalogue.FILE_COLUMNS]), order).alias("r")).select("r.*")
+    from ..operators.orphans import normal_hash
+
+    return first.withColumn("hash", normal_hash(F.col("hash")))
+
+
+_SAME = "coalesce(o.size = z.size AND o.mtime = z.mtime AND o.inode = z.inode, false)"
 
 
 @query(
-    with_(FILES)
-    + f""", o AS (SELECT * FROM f WHERE inode % 7 <> 0), s AS (SELECT path, root, ext, mime, scan_status, {_RUN} AS size, inode, mtime FROM f WHERE inode % 3 <> 0),
-z AS (SELECT path, root, ext, mime, scan_status, CASE WHEN scan_status IN ('denied', 'unreadable') THEN 0 ELSE size END AS size, CASE WHEN scan_status IN ('denied', 'unreadable') THEN 0 ELSE inode END AS inode, CASE WHEN scan_status IN ('denied', 'unreadable') THEN 0 ELSE mtime END AS mtime FROM s)
-SELECT coalesce(z.path, o.path) AS path, CASE WHEN z.path IS NULL THEN o.size ELSE z.size END AS size, CASE WHEN z.path IS NOT NULL AND NOT coalesce(o.size = z.size AND o.mtime = z.mtime AND o.inode = z.inode, false) THEN NULL ELSE o.hash END AS hash,
- coalesce(CASE WHEN z.path IS NOT NULL AND NOT coalesce(o.size = z.size AND o.mtime = z.mtime AND o.inode = z.inode, false) THEN NULL ELSE o.extract_status END, 'pending') AS extract_status, CASE WHEN z.path IS NULL THEN o.run_id ELSE 'r9' END AS run_id, coalesce(o.first_seen, '2026-01-01T00:00:00Z') AS first_seen
+    with_(FILES, _FIRST)
+    + f""", z AS (SELECT path, CASE WHEN scan_status IN ('denied', 'unreadable') THEN 0 ELSE size END AS size, CASE WHEN scan_status IN ('denied', 'unreadable') THEN 0 ELSE inode END AS inode, CASE WHEN scan_status IN ('denied', 'unreadable') THEN 0 ELSE mtime END AS mtime FROM f)
+SELECT coalesce(z.path, o.path) AS path, CASE WHEN z.path IS NULL THEN o.size ELSE z.size END AS size, CASE WHEN z.path IS NOT NULL AND NOT {_SAME} THEN NULL ELSE o.hash END AS hash,
+ coalesce(CASE WHEN z.path IS NOT NULL AND NOT {_SAME} THEN NULL ELSE o.extract_status END, 'pending') AS extract_status, CASE WHEN z.path IS NULL THEN o.run_id ELSE 'r9' END AS run_id, coalesce(o.first_seen, '2026-01-01T00:00:00Z') AS first_seen
 FROM o FULL JOIN z ON o.path = z.path"""
 )
 def man1_upsert_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    seen = files.filter("inode % 3 <> 0").withColumn("size", F.when(F.col("inode") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
-    rows = manifest.upsert_stat(files.filter("inode % 7 <> 0"), seen, "r9", "2026-01-01T00:00:00Z")
+    rows = manifest.upsert_stat(_first_files(spark, sf_dir), _files(spark, sf_dir), "r9", "2026-01-01T00:00:00Z")
     return rows.select("path", "size", "hash", "extract_status", "run_id", "first_seen")
 
 
@@ -249,11 +259,11 @@ def man2_mark_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.mark_missing(_files(spark, sf_dir), "r00000009", ["/vol/library/Projects"]).select("path", "scan_status")
 
 
-@query(with_(RECORDS) + ", o AS (SELECT * FROM c WHERE source_hash < '8'), n AS (SELECT * REPLACE (concept_id || '-new' AS concept_id, upper(title) AS title) FROM c WHERE source_hash > '4') SELECT coalesce(n.source_hash, o.source_hash) AS source_hash, coalesce(o.concept_id, n.concept_id) AS concept_id, CASE WHEN n.source_hash IS NULL THEN o.title ELSE n.title END AS title FROM o FULL JOIN n ON o.source_hash = n.source_hash")
+@query(with_(RECORDS) + ", n AS (SELECT source_hash, concept_id || '-new' AS concept_id, upper(title) AS title FROM c) SELECT n.source_hash, coalesce(c.concept_id, n.concept_id) AS concept_id, n.title FROM n JOIN c USING (source_hash)")
 def man3_save_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _records(spark, sf_dir)
-    new = c.filter("source_hash > '4'").withColumn("concept_id", F.concat("concept_id", F.lit("-new"))).withColumn("title", F.upper("title"))
-    return manifest.save_concepts(c.filter("source_hash < '8'"), new).select("source_hash", "concept_id", "title")
+    new = c.withColumn("concept_id", F.concat("concept_id", F.lit("-new"))).withColumn("title", F.upper("title"))
+    return manifest.save_concepts(c, new).select("source_hash", "concept_id", "title")
 
 
 @query(with_(FILES) + f", e AS (SELECT {HASH.format('hash')} AS h, min(status) AS status, max(word_count) AS words FROM extracts WHERE hash IS NOT NULL GROUP BY 1) SELECT path, coalesce(e.status, f.extract_status) AS extract_status, coalesce(CASE WHEN e.status IS NULL THEN f.word_count ELSE e.words END, 0) AS word_count FROM f LEFT JOIN e ON f.hash = e.h")
@@ -270,9 +280,9 @@ def man7_taken_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).filter("concept_id IS NOT NULL").select("source_hash", "concept_id")
 
 
-@query(with_(FILES, RECORDS) + ", h AS (SELECT hash, max(last_seen) AS last_seen FROM f WHERE scan_status = 'included' AND extract_status = 'ok' AND hash IS NOT NULL GROUP BY 1), p AS (SELECT hash, last_seen FROM h LEFT JOIN c ON hash = source_hash WHERE coalesce(c.enrich_status, '') <> 'ok') SELECT hash, row_number() OVER (ORDER BY last_seen DESC, hash) AS place FROM p ORDER BY last_seen DESC, hash LIMIT 50")
-def w11_recent_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(with_(FILES, RECORDS) + ", h AS (SELECT hash, max(last_seen) AS last_seen FROM f WHERE scan_status = 'included' AND extract_status = 'ok' AND hash IS NOT NULL GROUP BY 1), p AS (SELECT hash, last_seen FROM h LEFT JOIN c ON hash = source_hash WHERE coalesce(c.enrich_status, '') <> 'ok') SELECT hash, row_number() OVER (ORDER BY last_seen DESC, hash) AS place FROM p ORDER BY last_seen DESC, hash LIMIT 200")
+def w11_drain_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    top = manifest.enrichable(_files(spark, sf_dir), _records(spark, sf_dir)).orderBy(F.desc("last_seen"), "hash").limit(50)
+    top = manifest.enrichable(_files(spark, sf_dir), _records(spark, sf_dir)).orderBy(F.desc("last_seen"), "hash").limit(200)
     return top.select("hash", F.row_number().over(Window.orderBy(F.desc("last_seen"), "hash")).cast("bigint").alias("place"))
