@@ -7,9 +7,11 @@ after a count has shown them so.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +66,49 @@ def ranked(scores: DataFrame, key: str, most: int = TOP_K, rank: str = "rank") -
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vector: str = "vector", most: int = TOP_K) -> DataFrame:
-    """qid, key, score, rank: the most similar vectors to each query's (qid, qvec), exactly; filter ``vectors`` before."""
-    asked = queries.select("qid", F.col("qvec").alias("__q"))
-    scores = vectors.select(key, F.col(vector).alias("__v")).join(small_side(asked), F.size("__v") == F.size("__q"))
-    return ranked(scores.select("qid", key, F.round(cosine(F.col("__v"), F.col("__q")), 6).alias("score")), key, most)
+    """qid, key, score, rank: the most similar vectors to each query's (qid, qvec), exactly; filter ``vectors`` before.
+
+    A few queries are held as one matrix by every task, which multiplies its
+    batches with it and passes on the best ``most`` of each; many are joined.
+    Vectors of another width, null, zero or with NaN match nothing.
+    """
+    asked = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    if not is_small(asked, 2_000):
+        joined = vectors.select(key, F.col(vector).alias("__v")).join(asked, F.size("__v") == F.size("qvec"))
+        scores = joined.select("qid", key, F.round(cosine(F.col("__v"), F.col("qvec")), 6).alias("score"))
+        return ranked(scores.filter(~F.isnan("score") & F.col("score").isNotNull()), key, most)
+    rows = [r for r in asked.collect() if r["qvec"]]
+    kinds = {"q": asked.schema["qid"].dataType.simpleString(), "k": vectors.schema[key].dataType.simpleString()}
+    sides = {}
+    for width in {len(r["qvec"]) for r in rows}:
+        own = [r for r in rows if len(r["qvec"]) == width]
+        m = np.array([[np.nan if x is None else x for x in r["qvec"]] for r in own], dtype=np.float64)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sides[width] = ([r["qid"] for r in own], m / np.linalg.norm(m, axis=1)[:, None])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            widths = np.diff(lists.offsets.to_numpy())
+            for width, (qids, m) in sides.items():
+                take = pa.array(np.flatnonzero(widths == width))
+                flat = lists.take(take).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                keys = batch.column(0).take(take).to_pylist()
+                if not keys:
+                    continue
+                x = flat.reshape(len(keys), width)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = np.round(m @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6)
+                scores[np.isnan(scores)] = -9
+                out: tuple[list, list, list] = ([], [], [])
+                for i, own in enumerate(scores):
+                    least = -2.0 if len(own) <= most else max(-2.0, np.partition(own, -most)[-most])
+                    best = sorted((j for j in np.flatnonzero(own >= least)), key=lambda j: (-own[j], keys[j]))[:most]
+                    out[0].extend([qids[i]] * len(best)), out[1].extend(keys[j] for j in best), out[2].extend(float(own[j]) for j in best)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.float64())], ["qid", key, "score"])
+
+    found = vectors.select(key, F.col(vector).cast("array<double>").alias("__v")).filter(F.col("__v").isNotNull()).mapInArrow(run, f"qid {kinds['q']}, `{key}` {kinds['k']}, score double")
+    return ranked(found, key, most)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:

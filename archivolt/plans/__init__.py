@@ -1,6 +1,6 @@
 """Registered queries of the engine's own operators."""
 
-from . import graph_queries, manifest_queries, orphan_queries, text_queries  # noqa: F401
+from . import graph_queries, manifest_queries, orphan_queries, search_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
