@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import index_terms, query_terms, snippet
 from ..functions.vectors import cosine
@@ -79,6 +80,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vecto
         return ranked(scores.filter(~F.isnan("score") & F.col("score").isNotNull()), key, most)
     rows = [r for r in asked.collect() if r["qvec"]]
     kinds = {"q": asked.schema["qid"].dataType.simpleString(), "k": vectors.schema[key].dataType.simpleString()}
+    types = [to_arrow_type(asked.schema["qid"].dataType), to_arrow_type(vectors.schema[key].dataType)]
     sides = {}
     for width in {len(r["qvec"]) for r in rows}:
         own = [r for r in rows if len(r["qvec"]) == width]
@@ -105,7 +107,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vecto
                     least = -2.0 if len(own) <= most else max(-2.0, np.partition(own, -most)[-most])
                     best = sorted((j for j in np.flatnonzero(own >= least)), key=lambda j: (-own[j], keys[j]))[:most]
                     out[0].extend([qids[i]] * len(best)), out[1].extend(keys[j] for j in best), out[2].extend(float(own[j]) for j in best)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.float64())], ["qid", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], types[0]), pa.array(out[1], types[1]), pa.array(out[2], pa.float64())], ["qid", key, "score"])
 
     found = vectors.select(key, F.col(vector).cast("array<double>").alias("__v")).filter(F.col("__v").isNotNull()).mapInArrow(run, f"qid {kinds['q']}, `{key}` {kinds['k']}, score double")
     return ranked(found, key, most)
