@@ -138,9 +138,8 @@ def tile_neighbours(x: np.ndarray, y: np.ndarray | None, k: int, least: float, s
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     slack = 1e-5
     norm = 1 + rest.max(initial=0.0)
-    for a in range(0, n, step):
-        b_from, b_to = (0, n) if y is None else ((len(x), n) if a < len(x) else (0, len(x)))
-        a_to = min(a + step, n) if y is None or a >= len(x) else min(a + step, len(x))
+    sides = [(0, n, 0, n)] if y is None else [(0, len(x), len(x), n), (len(x), n, 0, len(x))]
+    for a, a_to, b_from, b_to in ((a, min(a + step, end), b_from, b_to) for start, end, b_from, b_to in sides for a in range(start, end, step)):
         rows = np.arange(a, a_to)
         dots = side[a:a_to] @ side[b_from:b_to].T
         dots *= np.float32(scale * scale)
