@@ -133,8 +133,9 @@ class Name:
 
 
 def person_tokens(name: str) -> list[str]:
-    """The long words of a person's name, as they are counted."""
-    return [t for t in re.findall(r"[^\W\d_]+", _person_text(name)[0]) if len(t) > 1 and t not in TITLES]
+    """The long words of a person's name, as they are counted: the given name first where a comma tells it."""
+    before, _, after = _person_text(name)[0].partition(",")
+    return [t for part in (after, before) for t in re.findall(r"[^\W\d_]+", part) if len(t) > 1 and t not in TITLES]
 
 
 def _person_text(name: str) -> tuple[str, bool]:
