@@ -90,8 +90,8 @@ def fit_label_model(patterns: dict[tuple[int, ...], int], rounds: int = 40) -> d
                 here = votes[:, j] == value
                 if here.any():
                     ratio = ((yes[here].sum() + 0.5) / (yes.sum() + 1.5)) / ((no[here].sum() + 0.5) / (no.sum() + 1.5))
-                    # a voter is taken to be right more often than wrong
-                    logit[here] += weight[here, j] * (np.clip(np.log(ratio), 0.4, 4) if value > 0 else np.clip(np.log(ratio), -5, -3))
+                    # a voter is taken to be right several times as often as wrong, the annotators less surely than the patterns
+                    logit[here] += weight[here, j] * (np.clip(np.log(ratio), 1.5, 4) if value > 0 else np.clip(np.log(ratio), -6.5, -5 if j < len(VOTERS) else -1.5))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         q[~could] = 1e-3
     return dict(zip(map(tuple, votes.tolist()), q.tolist()))
