@@ -5,6 +5,7 @@ All take and give columns. A null argument gives null unless said otherwise.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -168,3 +169,31 @@ def replacement_share(s: Column) -> Column:
     """The share of characters that stand for undecodable bytes."""
     lost = F.length(s) - F.length(F.replace(s, F.lit("�"), F.lit("")))
     return F.when(F.length(s) > 0, lost / F.length(s)).otherwise(0.0)
+
+
+def relevance_label(score: Column, weak: float = 0.2) -> Column:
+    """``weak`` below the threshold, else the score as a whole percentage."""
+    return F.when(score < weak, "weak").otherwise(F.concat(F.floor(score * 100 + 0.5).cast("string"), F.lit("%")))
+
+
+def highlight(s: Column, query: str, stop: frozenset[str] = frozenset("and are but for from not the was with you".split())) -> Column:
+    """The text, escaped for HTML, with the query's words of three letters and more in ``<mark>``; longer words first."""
+    words = sorted({w for w in re.findall(r"\w+", query.lower()) if len(w) >= 3 and w not in stop}, key=lambda w: (-len(w), w))
+    safe = F.replace(F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.regexp_replace(safe, rf"(?i)\b({'|'.join(words)})\b", "<mark>$1</mark>") if words else safe
+
+
+def link_path(concept_id: Column) -> Column:
+    """The link that leads to a concept from anywhere in the bundle."""
+    return F.concat(F.lit("/"), concept_id, F.lit(".md"))
+
+
+def mail_parts(s: Column) -> Column:
+    """The parts of an address's local part, in lower case; empty for what is no address."""
+    local = F.regexp_extract(F.trim(s), r"^([^@\s]+)@[^@\s]+\.[^@\s]+$", 1)
+    return F.filter(F.split(F.lower(local), r"[^\p{L}\p{N}_]+"), lambda p: p != "")
+
+
+def zoned_instant(s: Column) -> Column:
+    """Whether a text is an ISO-8601 instant with a zone; false for null."""
+    return F.coalesce(s.rlike(r"(Z|[+-]\d\d:?\d\d)$") & F.try_to_timestamp(s).isNotNull(), F.lit(False))
