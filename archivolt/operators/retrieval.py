@@ -22,6 +22,8 @@ from ..session import is_small
 from .index import KeywordIndex
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Query vectors that every task may hold as one matrix.
+MOST_HELD = 2_000
 RRF_K, TOP_K, FUSE_TOP, MAX_CANDIDATES, LIMIT, WEAK = 60, 50, 20, 30, 15, 0.2
 
 
@@ -74,11 +76,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vecto
     Vectors of another width, null, zero or with NaN match nothing.
     """
     asked = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
-    if not is_small(asked, 2_000):
+    rows = asked.limit(MOST_HELD + 1).collect()  # bounded, and read once
+    if len(rows) > MOST_HELD:
         joined = vectors.select(key, F.col(vector).alias("__v")).join(asked, F.size("__v") == F.size("qvec"))
         scores = joined.select("qid", key, F.round(cosine(F.col("__v"), F.col("qvec")), 6).alias("score"))
         return ranked(scores.filter(~F.isnan("score") & F.col("score").isNotNull()), key, most)
-    rows = [r for r in asked.collect() if r["qvec"]]
+    rows = [r for r in rows if r["qvec"]]
     kinds = {"q": asked.schema["qid"].dataType.simpleString(), "k": vectors.schema[key].dataType.simpleString()}
     types = [to_arrow_type(asked.schema["qid"].dataType), to_arrow_type(vectors.schema[key].dataType)]
     sides = {}
