@@ -50,6 +50,13 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", "neighbour_id", F.round("similarity", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@_query(_P1_SQL + "SELECT a AS chunk_id, b AS neighbour_id, round(sim, 4) AS similarity, n AS rank FROM r WHERE n <= 5")
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every usable chunk, however unlike they are."""
+    rows = similar_vectors.nearest_vectors(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "embedders"))
+    return rows.select("chunk_id", "neighbour_id", F.round("similarity", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @_query()
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.variant_pairs(read_table(spark, sf_dir, "entities"))

@@ -18,7 +18,8 @@ Results for odd input: vectors that are null, of the wrong width, all zero, or
 hold a null, NaN or infinity take no part; nor do rows without chunk_id or of a
 model without a width. A chunk written twice counts once, with the vector that
 sorts first by digest if they differ. Similarities equal to six digits are
-ordered by chunk_id.
+ordered by chunk_id; groups are numbered in that order, so that tiles and heaps
+keep the right ones of equal similarity.
 Empty tables give no rows. Other columns are ignored.
 """
 
@@ -35,10 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Rows that a cell should hold, and from which it is split into blocks.
 CELL_ROWS, SPLIT_ROWS = 2048, 16384
 #: Cells that each vector is put into; the bound on the number of pivots of a model.
 PROBES, MAX_PIVOTS = 4, 16384
+#: The same without a floor on the similarity, where neighbours are too unlike to share a cell as often.
+FAR_PROBES, FAR_CELL_ROWS = 8, 4096
 #: Steps of a unit within which two vectors are one direction.
 DIRECTION = 1 << 21
 #: Vectors sampled to draw pivots and to foresee the size of cells, per pivot and at least.
@@ -95,16 +100,16 @@ class _Router:
         return np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """model, gid, vec -> tile, block, gid, vec: each vector once for each tile it takes part in."""
+        """model, id, vec -> tile, block, id, vec: each vector once for each tile it takes part in."""
         for batch in batches:
             for model in set(batch.column("model").to_pylist()):
                 if model not in self.pivots:
                     continue
                 part = batch.filter(pc.equal(batch.column("model"), model))
-                gids, vecs = part.column("gid"), part.column("vec")
+                ids, vecs = part.column("id"), part.column("vec")
                 x = np.frombuffer(b"".join(vecs.to_pylist()), dtype=np.float32).reshape(part.num_rows, -1)
                 cells = self.cells(model, x)
-                salt = np.frombuffer(b"".join(g[:8] for g in gids.to_pylist()), dtype=np.uint64)
+                salt = ids.to_numpy().astype(np.uint64)
                 rows, columns = np.indices(cells.shape)
                 rows, cell = rows.ravel(), cells.ravel().astype(np.int64)
                 count = self.blocks[model][cell]
@@ -116,7 +121,7 @@ class _Router:
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 tile = ((self.index[model] << 24 | cell) << 15 | low) << 15 | high
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(own.astype(np.int32)), gids.take(take), vecs.take(take)], ["tile", "block", "gid", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(own.astype(np.int32)), ids.take(take), vecs.take(take)], ["tile", "block", "id", "vec"])
 
 
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -127,10 +132,20 @@ def _quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     return codes, scale, np.sqrt(np.einsum("ij,ij->i", rest, rest, dtype=np.float64))
 
 
-def tile_neighbours(x: np.ndarray, y: np.ndarray | None, k: int, least: float, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _kth_at_least(dots: np.ndarray, k: int, groups: int = 128) -> np.ndarray:
+    """A value for each row that its ``k``-th largest entry reaches: the ``k``-th largest of the
+    greatest entries of disjoint groups of columns, or the entry itself where columns are few."""
+    deep = dots.shape[1] // groups
+    if deep > 1 and groups > 8 * k:
+        dots = dots[:, : deep * groups].reshape(len(dots), deep, groups).max(axis=1)
+    return np.partition(dots, -k, axis=1)[:, -k]
+
+
+def tile_neighbours(x: np.ndarray, y: np.ndarray | None, k: int, least: float, step: int = 1024, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of ``x`` and of ``y`` its ``k`` most similar rows on the other
     side, or within ``x`` where ``y`` is None, of cosine ``least`` or more:
-    (row, other row, cosine); rows of ``y`` are numbered after those of ``x``."""
+    (row, other row, cosine); rows of ``y`` are numbered after those of ``x``. Of
+    cosines equal to six digits the one of the least of ``ids`` comes first."""
     both = x if y is None else np.concatenate([x, y])
     n = len(both)
     codes, scale, rest = _quantise(both)
@@ -148,7 +163,7 @@ def tile_neighbours(x: np.ndarray, y: np.ndarray | None, k: int, least: float, s
         bound = rest[a:a_to, None] * norm + rest[None, b_from:b_to].max(initial=0.0) * norm + slack
         cut = np.full((len(rows), 1), least)
         if dots.shape[1] > k:
-            sure = np.partition(dots, -k, axis=1)[:, -k][:, None] - bound if least <= 0 or dots.shape[1] <= 8 * k else None
+            sure = _kth_at_least(dots, k)[:, None] - bound if least <= 0 or dots.shape[1] <= 8 * k else None
             if sure is not None:
                 cut = np.maximum(cut, sure)
         i, j = np.divmod(np.flatnonzero((dots >= (cut - bound).astype(np.float32)).ravel()), dots.shape[1])
@@ -165,7 +180,7 @@ def tile_neighbours(x: np.ndarray, y: np.ndarray | None, k: int, least: float, s
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     i, j, cos = (np.concatenate(c) for c in zip(*out))
-    order = np.lexsort((-cos, i))
+    order = np.lexsort((-cos, i)) if ids is None else np.lexsort((ids[j], -np.round(cos, 6), i))
     i, j, cos = i[order], j[order], cos[order]
     first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
     at = np.arange(len(i))
@@ -178,17 +193,17 @@ def _tile(k: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         tile = table.column("tile")[0].as_py()
         low, high = tile >> 15 & 32767, tile & 32767
-        gids = np.array(table.column("gid").to_pylist(), dtype=object)
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(len(gids), -1)
+        ids = table.column("id").to_numpy()
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
         if low == high:
-            i, j, cos = tile_neighbours(x, None, k, least)
+            i, j, cos = tile_neighbours(x, None, k, least, ids=ids)
         else:
             left = table.column("block").to_numpy() == low
             order = np.r_[np.flatnonzero(left), np.flatnonzero(~left)]
-            gids, x = gids[order], x[order]
+            ids, x = ids[order], x[order]
             n = int(left.sum())
-            i, j, cos = tile_neighbours(x[:n], x[n:], k, least)
-        return pa.table({"a": pa.array(gids[i], pa.binary()), "b": pa.array(gids[j], pa.binary()), "similarity": pa.array(cos, pa.float64())})
+            i, j, cos = tile_neighbours(x[:n], x[n:], k, least, ids=ids)
+        return pa.table({"a": pa.array(ids[i], pa.int64()), "b": pa.array(ids[j], pa.int64()), "similarity": pa.array(cos, pa.float64())})
 
     return run
 
@@ -197,14 +212,14 @@ def _merge_heaps(k: int):
     """Candidates sorted by ``a`` -> the k best of each ``a``; one heap is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap: list[tuple[float, bytes]] = []
-        held: dict[bytes, float] = {}
+        heap: list[tuple[float, int]] = []  # cosine to six digits, and the negative id
+        held: dict[int, float] = {}
         current = None
         out: tuple[list, list, list] = ([], [], [])
 
         def close() -> None:
-            for cos, b in sorted(heap, reverse=True):
-                out[0].append(current), out[1].append(b), out[2].append(cos)
+            for _, b in sorted(heap, reverse=True):
+                out[0].append(current), out[1].append(-b), out[2].append(held[-b])
 
         for batch in batches:
             for a, b, cos in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("similarity").to_pylist()):
@@ -213,16 +228,19 @@ def _merge_heaps(k: int):
                     current, heap, held = a, [], {}
                 if b in held:
                     continue
-                held[b] = cos
+                entry = (round(cos, 6), -b)
                 if len(heap) < k:
-                    heapq.heappush(heap, (cos, b))
-                elif (cos, b) > heap[0]:
-                    held.pop(heapq.heapreplace(heap, (cos, b))[1], None)
+                    heapq.heappush(heap, entry)
+                elif entry > heap[0]:
+                    del held[-heapq.heapreplace(heap, entry)[1]]
+                else:
+                    continue
+                held[b] = cos
             if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
                 out = ([], [], [])
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
 
     return run
 
@@ -263,18 +281,19 @@ def similar_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_sim
     group = Window.partitionBy("gid").orderBy("chunk_id")
     heads = member.withColumn("position", F.row_number().over(group)).filter(F.col("position") <= k + 1)
     heads = heads.groupBy("gid").agg(F.array_sort(F.collect_list("chunk_id")).alias("heads"))
+    heads = cut(heads.orderBy(F.col("heads")[0]).withColumn("id", F.monotonically_increasing_id()))
     vectors = usable.groupBy("gid").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
-    vectors = vectors.join(heads.select("gid"), "gid", "left_semi").select("model", "gid", "vec")
+    vectors = vectors.join(heads.select("gid", "id"), "gid").select("model", "id", "vec")
 
-    tiles = vectors.mapInArrow(router, "tile long, block int, gid binary, vec binary")
-    found = tiles.groupBy("tile").applyInArrow(_tile(k, min_similarity), "a binary, b binary, similarity double")
-    best = found.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_heaps(k), "a binary, b binary, similarity double")
+    tiles = vectors.mapInArrow(router, "tile long, block int, id long, vec binary")
+    found = tiles.groupBy("tile").applyInArrow(_tile(k, min_similarity), "a long, b long, similarity double")
+    best = found.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_heaps(k), "a long, b long, similarity double")
 
     # Copies of one direction are each other's nearest; a group of more than k fills its members' ranks.
     left = member.join(heads, "gid")
     own = left.filter(F.size("heads") > 1).select("chunk_id", F.explode("heads").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
-    across = best.join(heads.withColumnRenamed("gid", "b"), "b").select(F.col("a").alias("gid"), F.slice("heads", 1, k).alias("others"), "similarity")
-    across = left.filter(F.size("heads") <= k).select("gid", "chunk_id").join(across, "gid").select("chunk_id", F.explode("others").alias("neighbour_id"), F.least("similarity", F.lit(1.0)).alias("similarity"))
+    across = best.join(heads.select(F.col("id").alias("b"), "heads"), "b").select(F.col("a").alias("id"), F.slice("heads", 1, k).alias("others"), "similarity")
+    across = left.filter(F.size("heads") <= k).select("id", "chunk_id").join(across, "id").select("chunk_id", F.explode("others").alias("neighbour_id"), F.least("similarity", F.lit(1.0)).alias("similarity"))
     if min_similarity > 1:
         own = own.limit(0)
     every = own.unionByName(across).filter(F.col("chunk_id") != F.col("neighbour_id"))
@@ -282,6 +301,11 @@ def similar_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_sim
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def nearest_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, probes: int = FAR_PROBES, cell_rows: int = FAR_CELL_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """As :func:`similar_vectors` without a floor: every chunk gets ``k`` neighbours if its model has so many others."""
+    return similar_vectors(chunks, embedders, k, -1.0, probes, cell_rows, split_rows)
+
+
 def similar_pairs(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_similarity: float = 0.9, **options: int) -> DataFrame:
     """chunk_a < chunk_b: distinct pairs of which one is among the k most similar of the other."""
     rows = similar_vectors(chunks, embedders, k, min_similarity, **options)

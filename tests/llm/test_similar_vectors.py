@@ -65,3 +65,34 @@ def test_tile_bounds_lose_nothing(least):
             others = [c for c in range(300) if c != r and (y is None or (c < 200) != (r < 200))]
             want = sorted((both[r, c] for c in others if both[r, c] >= least), reverse=True)[:3]
             assert np.allclose(sorted(cos[i == r], reverse=True), want, atol=1e-6)
+
+
+def test_nearest_vectors_give_every_chunk_its_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    rows = [("m", f"c{i:04}", v.tolist(), 0) for i, v in enumerate(x)]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    got = sv.nearest_vectors(chunks, spark.createDataFrame([("m", 16)], "model string, dim int"), cell_rows=512).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T
+    np.fill_diagonal(near, -9)
+    want = {(f"c{i:04}", f"c{j:04}") for i, row in enumerate(np.argsort(-near, axis=1)[:, :5]) for j in row}
+    assert len(got) == 5 * len(rows) and len({(r["chunk_id"], r["neighbour_id"]) for r in got} & want) >= 0.9 * len(want)
+
+
+def test_the_registered_query_of_neighbours_has_no_floor(spark, tmp_path):
+    from archivolt.llm.queries import QUERIES
+
+    far = np.eye(16, dtype=np.float32)
+    spark.createDataFrame([("m", f"c{i:02}", v.tolist(), 0) for i, v in enumerate(far)], SCHEMA).write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("m", 16)], "model string, dim int").write.parquet(str(tmp_path / "embedders.parquet"))
+    assert QUERIES["p1_nearest"](spark, str(tmp_path)).groupBy("chunk_id").count().filter("count = 5").count() == 16
+
+
+def test_ties_at_the_last_rank_go_by_chunk_id(spark):
+    rows = [("m", "a", [1.0, 0.0, 0.0], 0)] + [("m", f"z{i:02}", [0.5, 1.0 + i * 2e-7, i * 2e-5], 0) for i in range(40)]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    got = sv.nearest_vectors(chunks, spark.createDataFrame([("m", 3)], "model string, dim int")).filter("chunk_id = 'a'").collect()
+    unit = {c: np.array(v) / np.linalg.norm(v) for _, c, v, _ in rows}
+    want = sorted((-round(float(unit["a"] @ unit[c]), 6), c) for c in unit if c != "a")[:5]
+    assert {r["neighbour_id"] for r in got} == {c for _, c in want}
