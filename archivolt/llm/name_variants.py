@@ -30,6 +30,8 @@ from .components import connected_components
 
 #: The most frequent words of names that are held as statistics, for each of people and things.
 FREQUENT = 20_000
+#: Different names (by their first letters, so that slips in one name count once) beside which a word of things is common.
+COMMON, FIRST = 12, 3
 #: Rounds of rematching after which linking ends even if it could go on.
 ROUNDS = 8
 
@@ -44,19 +46,23 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if person and len(tokens) != 2:
                 continue
             # a word that stands before many different words is a given name
-            out += [(person, tokens[0], tokens[1])] if person else [(person, t, name) for t in set(tokens)]
-        yield pd.DataFrame(out, columns=["person", "word", "beside"])
+            out += [(person, False, tokens[0], tokens[1])] if person else [(person, False, t, name) for t in set(tokens)]
+            if not person:  # a word beside many different names is common, however often one of them is spelt
+                told = {t for t in tokens if names.invented(t)}
+                out += [(person, True, t, first) for t in set(tokens) for first in {o[:FIRST] for o in told if o != t}]
+        yield pd.DataFrame(out, columns=["person", "spread", "word", "beside"])
 
 
 def frequent_words(spellings: DataFrame, most: int = FREQUENT) -> dict[bool, names.Words]:
     """Words by the number of different words they stand before (people) or names they stand in (things); the ``most`` frequent."""
-    rows = spellings.select("kind", "name").mapInPandas(_tokens, "person boolean, word string, beside string").distinct()
-    counts = rows.groupBy("person", "word").agg(F.count(F.lit(1)).cast("int").alias("n")).filter(F.col("n") >= 2)
+    rows = spellings.select("kind", "name").mapInPandas(_tokens, "person boolean, spread boolean, word string, beside string").distinct()
+    counts = cut(rows.groupBy("person", "spread", "word").agg(F.count(F.lit(1)).cast("int").alias("n")).filter(F.col("n") >= 2))
+    common = frozenset(r["word"] for r in counts.filter(F.col("spread") & (F.col("n") >= COMMON)).select("word").collect())
     out: dict[bool, dict[str, int]] = {True: {}, False: {}}
     for person in out:
-        for r in counts.filter(F.col("person") == person).orderBy(F.desc("n"), "word").limit(most).collect():
+        for r in counts.filter(~F.col("spread") & (F.col("person") == person)).orderBy(F.desc("n"), "word").limit(most).collect():
             out[person][r["word"]] = r["n"]
-    return {person: names.Words(weights) for person, weights in out.items()}
+    return {person: names.Words(weights, common=frozenset() if person else common) for person, weights in out.items()}
 
 
 def _read(words):
@@ -73,15 +79,24 @@ def _read(words):
     return run
 
 
-def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes -> one row for each block they are compared in."""
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            letters = {w[i] for w in row.words for i in range(min(2, len(w)))} or {""}
-            for d in names.deletions(row.head):
-                out += [(f"{row.kind}|{d}|{letter}", *row) for letter in letters]
-        yield pd.DataFrame(out, columns=["block", *batch.columns])
+def _block_keys(words):
+    """Nodes -> one row for each block they are compared in; things by each word that may be their head."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = words.value[False].common
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                every = (row.head, *row.words)
+                at = [0] + [i for i, w in enumerate(every) if i and row.kind != "person" and w not in common and names.invented(w)]
+                for i in at:
+                    head, beside = every[i], [w for j, w in enumerate(every) if j != i]
+                    letters = {w[n] for w in beside for n in range(min(2, len(w)))} or {""}
+                    for d in names.deletions(head):
+                        out += [(f"{row.kind}|{d}|{letter}", row.node, row.kind, head, beside) for letter in letters]
+            yield pd.DataFrame(out, columns=["block", *batch.columns])
+
+    return run
 
 
 def _match(words):
@@ -159,7 +174,7 @@ def variant_groups(entities: DataFrame) -> DataFrame:
     nodes = cut(read.groupBy("node").agg(*first, F.max("legal").alias("legal")))
 
     full = nodes.filter(~F.col("weak")).select("node", "kind", "head", "words")
-    blocks = full.mapInPandas(_block_keys, "block string, node string, kind string, head string, words array<string>")
+    blocks = full.mapInPandas(_block_keys(words), "block string, node string, kind string, head string, words array<string>")
     edges = blocks.repartition("block").sortWithinPartitions("block", "node").mapInPandas(_match(words), "a string, b string")
     joined = connected_components(edges)
     state = cut(nodes.join(joined, nodes["node"] == joined["id"], "left").select(*nodes.columns, "component"))

@@ -86,8 +86,8 @@ def shortens(short: str, word: str) -> bool:
 class Words:
     """Frequent words with their weights, and what a rarer word should have been."""
 
-    def __init__(self, weights: dict[str, int], ratio: int = 4):
-        self.weights, self.ratio = weights, ratio
+    def __init__(self, weights: dict[str, int], ratio: int = 4, common: frozenset[str] = frozenset()):
+        self.weights, self.ratio, self.common = weights, ratio, common
         self.index: dict[str, list[str]] = {}
         for w, n in weights.items():
             if n >= 3 and len(w) >= 3:
@@ -198,6 +198,11 @@ def thing_tokens(name: str) -> list[str]:
     return [t for t in re.findall(r"[^\W\d_]+|\d+", thing_text(name)) if t not in LEGAL and t not in ("the", "and")]
 
 
+def invented(word: str) -> bool:
+    """Whether a word may be the name that tells a thing: long, and no business word, short form or slip of one."""
+    return len(word) >= 5 and word not in BUSINESS and word not in CONTRACTIONS and not any(shortens(word, b) or abs(len(word) - len(b)) <= 1 and edits(word, b, 1) <= 1 for b in BUSINESS)
+
+
 def read_thing(name: str, kind: str, words: Words) -> Name | None:
     """The name of an organisation, project or system: legal form, articles and the kind's own word cut, typing errors in common words mended."""
     tokens = re.findall(r"[^\W\d_]+|\d+", thing_text(name))
@@ -207,7 +212,7 @@ def read_thing(name: str, kind: str, words: Words) -> Name | None:
         plain = [t for t in tokens if t not in ("the", "and")]
     if not plain:
         return None
-    common = lambda w: w in BUSINESS or words.weights.get(w, 0) >= 12
+    common = lambda w: w in BUSINESS or w in words.common
     mended = []
     for t in plain:
         s = t if common(t) else words.snap(t)
@@ -225,7 +230,7 @@ def read_thing(name: str, kind: str, words: Words) -> Name | None:
     beside = []
     for i, t in enumerate(mended):
         if i != at:
-            wide = [] if common(t) else [CONTRACTIONS[t]] if t in CONTRACTIONS else [w for w in BUSINESS if len(t) >= 3 and w.startswith(t)]
+            wide = [] if t in BUSINESS else [CONTRACTIONS[t]] if t in CONTRACTIONS else [w for w in BUSINESS if len(t) >= 3 and w.startswith(t)]
             beside.append(wide[0] if len(wide) == 1 else t)
     letters = kind == "organization" and len(plain) == 1 and 3 <= len(plain[0]) <= 6 and not legal and not common(plain[0])
     return Name(mended[at], tuple(beside), legal=legal, weak=letters)

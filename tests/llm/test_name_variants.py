@@ -58,3 +58,21 @@ def test_components(spark):
 @pytest.mark.parametrize("a, b, most, d", [("abc", "abc", 1, 0), ("abc", "acb", 1, 1), ("abcd", "abxd", 2, 1), ("kitten", "sitting", 2, 3), ("", "ab", 2, 2)])
 def test_edits(a, b, most, d):
     assert names.edits(a, b, most) == d
+
+
+def test_one_thing_in_many_spellings_keeps_its_head(spark):
+    ends = ["GmbH", "g.m.b.h.", "Gesellschaft mbH", "mbH", ""]
+    bodies = ["Virdruskeum Services Printing", "Virdruskeum Services & Printing", "Virdruskeum Svcs Printing", "Virdruskeum Printing Services", "Virdruskeum Servics Printing", "Virdruskeum SP"]
+    many = [f"{b} {e}".strip() for b in bodies for e in ends if b != "Virdruskeum SP" or e]
+    short = [f"{h} {w}" for h in "Acmeron Bolvistan Cherudaik Dromwelka Elgarotti Fintharoum Gostrevik Hulmandier Ivaskoren Jormtandel Kelvorashi Lumendrago Mostagrin".split() for w in ("Cons.", "Consulting")]
+    rows = [(f"organization:{n.lower()}", "organization") for n in [*many, *short]]
+    groups = {r["key"].split(":")[1]: r["component"] for r in variant_groups(spark.createDataFrame(rows, "key string, kind string")).collect()}
+    assert len({groups[n.lower()] for n in many}) == 1
+    assert all(groups[a.lower()] == groups[b.lower()] for a, b in zip(short[::2], short[1::2])) and len({groups[n.lower()] for n in short}) == 13
+
+
+def test_things_are_blocked_by_each_invented_word(spark):
+    rows = [(f"project:{n}", "project") for n in ("virdruskeum zibblador", "virdruskeun zibblador", "zibblador virdruskeum", "virdruskeum zibbladur", "virdruskeum console", "zibblador console")]
+    groups = {r["key"].split(":")[1]: r["component"] for r in variant_groups(spark.createDataFrame(rows, "key string, kind string")).collect()}
+    assert len({groups[n] for n in ("virdruskeum zibblador", "virdruskeun zibblador", "zibblador virdruskeum", "virdruskeum zibbladur")}) == 1
+    assert len(set(groups.values())) == 3
