@@ -1,206 +1,344 @@
 """Abusive, hateful or sexual content, by weak supervision.
 
-Voters (:mod:`.abuse_votes`: lexicons and patterns in four languages) judge every
-sentence of every document; the annotators' labels of a document are one more
-voter, who may err like the others. A generative label model, fitted to the
-counts of all vote patterns by expectation maximisation, estimates the accuracy of
-each voter and the correlation of each two, and gives each pattern a posterior.
-A linear classifier over words, word pairs and votes is trained on the posteriors
-of a bounded sample of distinct sentences and scores all sentences; the score of
-a document is that of its worst sentence.
+Voters (:mod:`.abuse_votes`: general lexicons and patterns in four languages)
+judge every sentence of every document; the annotators' label of a document is one
+more voter on its sentences, who may err like the others. A generative label
+model, fitted to the counts of all vote patterns by expectation maximisation,
+estimates how often each voter speaks on abusive and on other sentences (its
+accuracy, of either sign) and on which other voter that depends (its correlation:
+the tree of the strongest dependences within the classes), and gives each pattern
+a posterior. A linear classifier over words, pairs of words and votes is trained
+on the posteriors of a bounded sample of distinct sentences, voted on or not, and
+on the sentences of labelled documents, of which an abusive one holds at least one
+abusive sentence: who that is, is estimated in turn with the classifier. It scores
+all sentences; the score of a document is that of its worst sentence.
 
 Null, empty and blank texts score 0. Repeated documents are scored one by one.
-Labels of unknown documents, null labels and null documents ids in the labels are
-ignored; without labels the annotators' vote is absent. Whole texts are judged.
+Labels of unknown documents, null labels and null document ids in the labels are
+ignored, and so are ties between annotators; without labels the annotators' vote
+is absent. Whole texts are judged.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .abuse_votes import VOTERS, judge, sentences
+from .abuse_votes import SAYS, VOTERS, Reader, Sentences, pair_hash
 
 #: Distinct sentences with votes, and without, that the classifier is trained on at most.
-TRAIN_VOTED, TRAIN_SILENT = 40_000, 20_000
-#: Hashed features, passes of the training, and the score from which a document is reported.
-FEATURES, EPOCHS, THRESHOLD = 1 << 18, 8, 0.5
-
-_SIGNS = {-1: "-", 0: "0", 1: "+"}
-_SILENT = "0" * len(VOTERS)
-
-
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, plain (words of each sentence), pattern (votes on each)."""
-    for batch in batches:
-        plain, patterns = [], []
-        for text in batch["text"]:
-            judged = [judge(s) for s in sentences(text)]
-            plain.append([" ".join(words) for words, _ in judged])
-            patterns.append(["".join(_SIGNS[v] for v in votes) for _, votes in judged])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "plain": plain, "pattern": patterns})
-
-
-def fit_label_model(patterns: dict[tuple[int, ...], int], rounds: int = 40) -> dict[tuple[int, ...], float]:
-    """Posterior probability of abuse for each vote pattern.
-
-    A class-conditional distribution over -1, 0 and 1 for each voter, estimated by
-    expectation maximisation; voters who vote together within a class (positive
-    correlation) share their weight where they agree. A pattern without a vote for
-    abuse is not abusive and takes no part.
+TRAIN_VOTED, TRAIN_SILENT = 20_000, 20_000
+#: Labelled documents whose sentences it is trained on at most, and those sentences.
+LABELLED, TRAIN_LABELLED = 20_000, 150_000
+#: Hashed features, passes of the training, rounds of it, and the score from which a document is reported.
+FEATURES, EPOCHS, ROUNDS, THRESHOLD = 1 << 18, 6, 5, 0.5
+#: Texts that are read at once.
+STEP = 512
+
+
+def fit_label_model(patterns: dict[tuple[int, ...], float], rounds: int = 60, prior: float = 2.0, joint_prior: float = 20.0, belief: float = 4.0, annotators: bool = True) -> dict[tuple[int, ...], float]:
+    """Posterior probability of abuse for each vote pattern (values -1, 0 and 1).
+
+    For each class a free distribution of each voter's votes, given those of one
+    other voter where the two depend on each other within the classes (the
+    strongest such dependences, as a tree), by expectation maximisation. ``prior``
+    is a weak symmetric one: so many sentences of each class on which a voter votes
+    as on all sentences; ``joint_prior``: so many on which two voters are independent;
+    ``belief``: so many of the class that a voter names on which it speaks. Voters who agree start as abusive, a lone one does not.
+    Where ``annotators``, the last voter's 0 means that nobody asked; it says nothing.
     """
     if not patterns:
         return {}
     votes = np.array(list(patterns), dtype=int)
     count = np.array(list(patterns.values()), dtype=float)
-    could = (votes > 0).any(axis=1)  # no text is abusive of which no voter says so
-    q = 1 / (1 + np.exp(-2.0 * ((votes > 0).sum(axis=1) - 3.0 * (votes < 0).sum(axis=1))))
-    q[~could] = 1e-3
-    count = count * could
-    weight = np.ones(votes.shape)
+    size, width = votes.shape
+    asked = annotators and width == len(VOTERS) + 1
+    own = width - 1 if asked else width
+    net = votes.sum(axis=1)
+    q = np.select([net >= 2, net == 1, net == 0], [0.9, 0.3, 0.02], 0.01)
+    onehot = np.stack([(votes == v).astype(float) for v in (-1, 0, 1)], axis=2)  # pattern, voter, vote
+    total = count.sum()
+    overall = np.einsum("p,pvk->vk", count, onehot) / total
+    says = np.sign(votes.sum(axis=0))
+    trust = np.zeros((2, width, 3))  # class, voter, vote
+    for j, v in enumerate(says):
+        if v and j != (own if asked else width):
+            trust[int(v > 0), j, v + 1] = belief
+    parent = np.full(width, -1)
     for step in range(rounds):
-        # correlation of the voters within the classes, after the accuracies have settled
-        if step == rounds // 2:
-            spoken = (votes != 0).astype(float)
-            shared = np.zeros((votes.shape[1], votes.shape[1]))
-            for mass in (count * q, count * (1 - q)):
-                total = mass.sum()
-                if total > 1:
-                    mean = mass @ spoken / total
-                    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-                    shared = np.maximum(shared, ((spoken * mass[:, None]).T @ spoken / total - np.outer(mean, mean)) / np.outer(spread, spread))
-            np.fill_diagonal(shared, 0)
-            shared = np.clip(shared, 0, 1)
-            for value in (-1, 1):
-                here = (votes == value).astype(float)
-                weight = np.where(votes == value, 1 / (1 + here @ shared), weight)
-        yes, no = count * q, count * (1 - q)
-        prior = np.clip(yes.sum() / max(count.sum(), 1), 0.05, 0.95)
-        logit = np.full(len(votes), np.log(prior / (1 - prior)))
-        for j in range(votes.shape[1]):
-            for value in (-1, 1):
-                here = votes[:, j] == value
-                if here.any():
-                    ratio = ((yes[here].sum() + 0.5) / (yes.sum() + 1.5)) / ((no[here].sum() + 0.5) / (no.sum() + 1.5))
-                    # a voter is taken to be right several times as often as wrong, the annotators less surely than the patterns
-                    logit[here] += weight[here, j] * (np.clip(np.log(ratio), 1.5, 4) if value > 0 else np.clip(np.log(ratio), -6.5, -5 if j < len(VOTERS) else -1.5))
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        q[~could] = 1e-3
+        mass = np.stack([count * (1 - q), count * q])  # class, pattern
+        of_class = mass.sum(axis=1)
+        if step % 10 == 0:
+            parent = _dependences(mass, of_class, onehot[:, :own], width)
+        share = (of_class + np.array([4.5, 0.5])) / (total + 5)
+        logit = np.repeat(np.log(share)[:, None], size, axis=1)
+        for j in range(width):
+            if j == own:
+                here = votes[:, j] != 0
+                seen = np.einsum("cp,pk->ck", mass[:, here], onehot[here, j])
+                some = overall[j].copy()
+                some[1] = 0
+                chance = (seen + prior * some / max(some.sum(), 1e-12)) / (seen.sum(axis=1, keepdims=True) + prior)
+                logit[:, here] += np.log(np.maximum(chance, 1e-12))[:, votes[here, j] + 1]
+                continue
+            alone = np.einsum("cp,pk->ck", mass, onehot[:, j]) + prior * overall[j] + trust[:, j]
+            alone /= alone.sum(axis=1, keepdims=True)
+            if parent[j] < 0:
+                logit += np.log(np.maximum(alone, 1e-12))[:, votes[:, j] + 1]
+                continue
+            joint = np.einsum("cp,pi,pk->cik", mass, onehot[:, parent[j]], onehot[:, j])
+            given = (joint + joint_prior * alone[:, None, :]) / (joint.sum(axis=2, keepdims=True) + joint_prior)
+            logit += np.log(np.maximum(given, 1e-12))[:, votes[:, parent[j]] + 1, votes[:, j] + 1]
+        q = 1 / (1 + np.exp(np.clip(logit[0] - logit[1], -30, 30)))
     return dict(zip(map(tuple, votes.tolist()), q.tolist()))
 
 
-def features(plain: str, pattern: str) -> list[int]:
-    """Hashed words, neighbouring words, words with one between, and votes."""
-    words = plain.split(" ")
-    names = [*words, *map(" ".join, zip(words, words[1:])), *(f"{a} . {b}" for a, b in zip(words, words[2:])), *(f"#{i}{v}" for i, v in enumerate(pattern) if v != "0")]
-    return [zlib.crc32(n.encode("utf-8", "replace")) & (FEATURES - 1) for n in names]
-
-
-def _logit(p: float) -> float:
-    return float(np.clip(np.log(max(p, 1e-9) / max(1 - p, 1e-9)), -8, 8))
+def _dependences(mass: np.ndarray, of_class: np.ndarray, onehot: np.ndarray, width: int) -> np.ndarray:
+    """The other voter that each voter depends on within the classes, or -1: a maximum spanning tree by mutual information."""
+    own = onehot.shape[1]
+    weight = np.zeros((own, own))
+    total = of_class.sum()
+    for c in (0, 1):
+        if of_class[c] <= 1:
+            continue
+        joint = np.einsum("p,pik,pjl->ijkl", mass[c], onehot, onehot, optimize=True) / of_class[c]
+        alone = np.einsum("p,pik->ik", mass[c], onehot) / of_class[c]
+        free = alone[:, None, :, None] * alone[None, :, None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight += of_class[c] * np.where(joint > 1e-12, joint * np.log(joint / np.maximum(free, 1e-300)), 0).sum(axis=(2, 3))
+    np.fill_diagonal(weight, 0)
+    parent, inside = np.full(width, -1), {0}
+    least = 3 + 0.5 * np.log(max(total, 2))  # nats that a dependence must explain
+    while len(inside) < own:
+        outside = [j for j in range(own) if j not in inside]
+        i, j = max(((i, j) for i in sorted(inside) for j in outside), key=lambda e: weight[e])
+        if weight[i, j] > least:
+            parent[j] = i
+        inside.add(j)
+    return parent
+
+
+def _votes_of(bits: int, label: int) -> tuple[int, ...]:
+    return (*(s if bits >> i & 1 else 0 for i, s in enumerate(SAYS)), label)
+
+
+def features(s: Sentences) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, neighbouring words, words with one between and votes of each sentence: (feature, sentence), sentences in order."""
+    number = np.repeat(np.arange(len(s.start)), s.sizes)
+    w = s.words
+    near, apart = number[:-1] == number[1:], number[:-2] == number[2:]
+    fired = [np.flatnonzero(s.votes >> i & 1) for i in range(len(VOTERS))]
+    with np.errstate(over="ignore"):
+        hashed = [w * np.uint64(0x9E3779B97F4A7C15), pair_hash(w[:-1], w[1:])[near], pair_hash(w[:-2] + np.uint64(1), w[2:])[apart]]
+        hashed += [np.full(len(f), pair_hash(np.array([i + 1], np.uint64), np.array([77], np.uint64))[0], np.uint64) for i, f in enumerate(fired)]
+    feature = (np.concatenate(hashed) >> np.uint64(24)).astype(np.int64) & FEATURES - 1
+    owner = np.concatenate([number, number[:-1][near], number[:-2][apart], *fired])
+    order = np.argsort(owner, kind="stable")
+    return feature[order], owner[order]
 
 
 class Classifier:
-    """A linear model over hashed features and the logit of the votes' posterior."""
+    """A linear model over hashed features."""
 
-    def __init__(self, weights: np.ndarray, bias: float, trust: float, posterior: dict[str, float]):
-        self.weights, self.bias, self.trust, self.posterior = weights, bias, trust, posterior
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights, bias
 
-    def score(self, plain: str, pattern: str) -> float:
-        own = self.weights[list(set(features(plain, pattern)))].sum()
-        return float(own + self.bias + self.trust * self.posterior.get(pattern, -8.0))
+    def score(self, s: Sentences) -> np.ndarray:
+        """The log odds of abuse of each sentence."""
+        feature, owner = features(s)
+        return np.bincount(owner, weights=self.weights[feature], minlength=len(s.start)) + self.bias
 
 
-def train(rows: list[tuple[str, str, float]], posterior: dict[str, float], epochs: int = EPOCHS, rate: float = 0.25, shrink: float = 1e-6, seed: int = 3) -> Classifier:
-    """A logistic model of the given probabilities by adaptive gradient steps; both classes weigh the same.
-    ``posterior``: the logit of each vote pattern."""
-    sets = [np.unique(features(p, v)) for p, v, _ in rows]
-    goal = np.array([y for _, _, y in rows])
-    prior = np.array([posterior.get(v, -8.0) for _, v, _ in rows])
-    heavy = np.where(goal > 0.5, np.clip((goal <= 0.5).sum() / max((goal > 0.5).sum(), 1), 1, 50), 1.0)
+def train(feature: np.ndarray, owner: np.ndarray, goal: np.ndarray, heavy: np.ndarray, epochs: int = EPOCHS, rate: float = 0.25, shrink: float = 1e-5, seed: int = 3) -> Classifier:
+    """A logistic model of the probabilities ``goal`` with weights ``heavy``, by adaptive gradient steps."""
+    bounds = np.searchsorted(owner, np.arange(len(goal) + 1))
     w, square = np.zeros(FEATURES), np.full(FEATURES, 1e-2)
-    extra, extra_square = np.array([0.0, 0.6]), np.full(2, 1e-2)  # bias, trust in the votes
+    bias, bias_square = -2.0, 1e-2
     random = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = random.permutation(len(sets))
-        for at in range(0, len(order), 64):
-            part = order[at : at + 64]
-            sizes = [len(sets[i]) for i in part]
-            flat = np.concatenate([sets[i] for i in part])
-            owner = np.repeat(np.arange(len(part)), sizes)
-            score = np.bincount(owner, weights=w[flat], minlength=len(part)) + extra[0] + extra[1] * prior[part]
+        order = random.permutation(len(goal))
+        for at in range(0, len(order), 128):
+            part = order[at : at + 128]
+            sizes = bounds[part + 1] - bounds[part]
+            local = np.repeat(np.arange(len(part)), sizes)
+            flat = feature[np.repeat(bounds[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            score = np.bincount(local, weights=w[flat], minlength=len(part)) + bias
             error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - goal[part]) * heavy[part]
             used, back = np.unique(flat, return_inverse=True)
-            step = np.bincount(back, weights=error[owner], minlength=len(used)) + shrink * w[used]
+            step = np.bincount(back, weights=error[local], minlength=len(used)) + shrink * w[used]
             square[used] += step**2
             w[used] -= rate * step / np.sqrt(square[used])
-            step = np.array([error.sum(), (error * prior[part]).sum()])
-            extra_square += step**2
-            extra -= 0.05 * step / np.sqrt(extra_square)
-    return Classifier(w.astype(np.float32), float(extra[0]), float(max(extra[1], 0.0)), posterior)
-
-
-def _score(model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    m = model.value
-    for batch in batches:
-        scores = []
-        for plain, patterns in zip(batch["plain"], batch["pattern"]):
-            best = max((m.score(p, v) for p, v in zip(plain, patterns)), default=-np.inf)
-            scores.append(float(1 / (1 + np.exp(-np.clip(best, -30, 30)))) if best > -np.inf else 0.0)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores})
-
-
-def _annotated(votes: tuple[int, ...], label: int | None) -> tuple[int, ...]:
-    """The votes on a sentence with the annotators' vote: all sentences of a clean document are clean; of an abusive one those are that other voters call so."""
-    if label == 0:
-        return (*votes, -1 if any(votes) else 0)
-    return (*votes, 1 if label == 1 and sum(votes) > 0 else 0)
+            bias_square += error.sum() ** 2
+            bias -= 0.05 * error.sum() / np.sqrt(bias_square)
+    return Classifier(w.astype(np.float32), float(bias))
+
+
+def _accuracy(posterior: dict[tuple[int, ...], float], counts: dict[tuple[int, ...], float]) -> float:
+    """How often the annotators' label of a sentence's document fits the sentence where the model is sure of it."""
+    right = wrong = 2.0
+    for p, n in counts.items():
+        alone = posterior.get((*p[:-1], 0))
+        if p[-1] and alone is not None and alone > 0.9:
+            right, wrong = (right + n, wrong) if p[-1] > 0 else (right, wrong + n)
+    return float(np.clip(right / (right + wrong), 0.6, 0.95))
+
+
+def _shift(odds: np.ndarray, share: float) -> float:
+    """What to add to log odds so that their probabilities have the mean ``share``: annotators did not draw evenly."""
+    low, high = -15.0, 15.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(-(odds + middle)))).mean() < share else (low, middle)
+    return (low + high) / 2
+
+
+def fit(sample: Sentences, label: np.ndarray, bag: np.ndarray, posterior: dict[tuple[int, ...], float], accuracy: float, rounds: int = ROUNDS) -> Classifier:
+    """The classifier. ``label``: of each sentence's document, -1 not abusive, 1 abusive, 0 unknown; ``bag``: the document's number."""
+    rows = list(zip(sample.votes.tolist(), label.tolist()))
+    goal = np.array([posterior.get(_votes_of(v, y), posterior.get(_votes_of(v, 0), 0.01)) for v, y in rows])
+    feature, owner = features(sample)
+    known = label != 0
+    number = np.unique(bag[known], return_inverse=True)[1]
+    fold = np.where(known, bag & 1, 2)
+    for n in range(rounds):
+        heavy = np.where(goal > 0.5, np.clip((goal <= 0.5).sum() / max((goal > 0.5).sum(), 1), 1, 20), 1.0) * np.where(known, 2.0, 1.0)
+        if n == rounds - 1 or not known.any():
+            break
+        odds = np.zeros(len(goal))
+        for f in (0, 1):  # documents are judged by a model that has not seen their labels
+            part = fold != f
+            model = train(feature[part[owner]], (np.cumsum(part) - 1)[owner[part[owner]]], goal[part], heavy[part])
+            odds = np.where(fold == f, model.score(sample), odds)
+        # of an abusive document at least one sentence is abusive, of another none, as far as the annotators are right
+        p = np.clip(1 / (1 + np.exp(-np.clip(odds[known], -12, 12))), 1e-4, 1 - 1e-4)
+        some = np.clip(1 - np.exp(np.bincount(number, weights=np.log1p(-p))), 1e-4, 1 - 1e-4)
+        odds = np.log(some / (1 - some))
+        verdict = np.zeros(len(some), int)
+        verdict[number] = label[known]
+        odds += _shift(odds, float((verdict > 0).mean())) + verdict * np.log(accuracy / (1 - accuracy))
+        goal[known] = np.minimum(1, p / some[number]) / (1 + np.exp(-odds))[number]
+    return train(feature, owner, goal, heavy)
+
+
+class _Sampler:
+    """Keeps the ``most`` distinct sentences of the least keys."""
+
+    def __init__(self, most: int):
+        self.most, self.bound, self.held = most, np.iinfo(np.int64).max, {}
+
+    def add(self, s: Sentences, rows: np.ndarray, keys: np.ndarray, rest: list[np.ndarray]) -> None:
+        ends = s.start + s.sizes
+        for i in rows[keys[rows] < self.bound]:
+            at = (int(keys[i]), *(int(r[i]) for r in rest[1:]))
+            if at not in self.held:
+                self.held[at] = (int(s.votes[i]), *(int(r[i]) for r in rest), s.words[s.start[i] : ends[i]].astype(np.uint64).tobytes())
+        if len(self.held) > 2 * self.most:
+            keep = sorted(self.held)[: self.most]
+            self.bound = keep[-1][0] + 1
+            self.held = {k: self.held[k] for k in keep}
+
+
+_STATS = "kind string, key long, votes long, label int, bag long, n long, words binary"
+
+
+def _survey(labels):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text -> counts of (votes, label), and sentences for the sample."""
+        known = labels.value
+        read = Reader()
+        counts: Counter[tuple[int, int]] = Counter()
+        samplers = {"voted": _Sampler(TRAIN_VOTED), "silent": _Sampler(TRAIN_SILENT), "labelled": _Sampler(TRAIN_LABELLED)}
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            texts = batch.column(1)
+            for at in range(0, len(ids), STEP):
+                s = read(texts.slice(at, STEP).to_pylist())
+                if not len(s.start):
+                    continue
+                own = ids[at : at + STEP]
+                label = np.array([known.get(i, 0) for i in own])[s.text]
+                pattern, times = np.unique(np.stack([s.votes, label]), axis=1, return_counts=True)
+                for v, y, n in zip(*pattern.tolist(), times.tolist()):
+                    counts[v, y] += n
+                keys = s.keys()
+                bag = np.array([hash(i) & 0x7FFFFFFFFFFFFFFF for i in own], dtype=np.int64)[s.text]
+                none, nothing = np.zeros(len(keys), int), np.zeros(len(keys), int)
+                samplers["labelled"].add(s, np.flatnonzero(label != 0), keys, [label, bag])
+                samplers["voted"].add(s, np.flatnonzero((label == 0) & (s.votes != 0)), keys, [none, nothing])
+                samplers["silent"].add(s, np.flatnonzero((label == 0) & (s.votes == 0)), keys, [none, nothing])
+        rows = [("count", 0, v, y, 0, n, b"") for (v, y), n in counts.items()]
+        rows += [(kind, k[0], v, y, bag, 1, words) for kind, held in samplers.items() for k, (v, y, bag, words) in held.held.items()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        names = ("kind", "key", "votes", "label", "bag", "n", "words")
+        for at in range(0, len(rows), 20_000):
+            part = rows[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate(kinds)], list(names))
+
+    return run
+
+
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, read = model.value, Reader()
+        for batch in batches:
+            scores = []
+            texts = batch.column(1)
+            for at in range(0, batch.num_rows, STEP):
+                own = texts.slice(at, STEP).to_pylist()
+                s = read(own)
+                worst = np.full(len(own), -np.inf)
+                if m is not None and len(s.start):
+                    np.maximum.at(worst, s.text, m.score(s))
+                scores.append(np.where(np.isfinite(worst), 1 / (1 + np.exp(-np.clip(worst, -30, 30))), 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
+
+    return run
+
+
+def _sentences(table: pa.Table) -> Sentences:
+    words = [np.frombuffer(b, dtype=np.uint64) for b in table.column("words").to_pylist()]
+    sizes = np.array([len(w) for w in words], dtype=int)
+    return Sentences(np.concatenate(words) if words else np.zeros(0, np.uint64), np.cumsum(sizes) - sizes, np.zeros(len(words), int), table.column("votes").to_numpy())
+
+
+def learn(documents: DataFrame, labels: DataFrame | None = None) -> Classifier | None:
+    """The classifier of ``documents`` (doc_id, text); None if they hold no sentence."""
+    spark = documents.sparkSession
+    known: dict = {}
+    if labels is not None:
+        label = labels.filter(F.col("doc_id").isNotNull() & F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"))
+        label = label.filter(F.col("share") != 0.5).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+        known = {r["doc_id"]: 1 if r["share"] > 0.5 else -1 for r in label.collect()}
+    shared = spark.sparkContext.broadcast(known)  # at most LABELLED numbers
+    stats = cut(documents.select("doc_id", "text").mapInArrow(_survey(shared), _STATS))
+    counted = stats.filter(F.col("kind") == "count").groupBy("votes", "label").agg(F.sum("n").alias("n"))  # at most 2 to the number of voters
+    patterns = {_votes_of(r["votes"], r["label"]): float(r["n"]) for r in counted.collect()}
+    if not patterns:
+        return None
+    for p in list(patterns):  # each pattern's posterior without the annotators is asked for too
+        patterns.setdefault((*p[:-1], 0), 0.0)
+    posterior = fit_label_model(patterns)
+    kept = ["key", "votes", "label", "bag", "words"]
+    parts = []
+    for kind, most in (("voted", TRAIN_VOTED), ("silent", TRAIN_SILENT), ("labelled", TRAIN_LABELLED)):
+        rows = stats.filter(F.col("kind") == kind).select(*kept)
+        rows = rows.dropDuplicates(["key", "bag"] if kind == "labelled" else ["key"])
+        parts.append(rows.orderBy("key", "bag").limit(most).toArrow())
+    sample = pa.concat_tables(parts)
+    return fit(_sentences(sample), sample.column("label").to_numpy(), sample.column("bag").to_numpy(), posterior, _accuracy(posterior, patterns))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, score in [0, 1] of every document."""
-    spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    judged = cut(documents.select("doc_id", "text").mapInPandas(_judge, f"doc_id {kind}, plain array<string>, pattern array<string>"))
-    each = judged.select("doc_id", F.explode(F.arrays_zip("plain", "pattern")).alias("s")).select("doc_id", "s.plain", "s.pattern")
-    if labels is not None:
-        label = labels.filter(F.col("doc_id").isNotNull() & F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"))
-        label = label.select("doc_id", F.when(F.col("share") > 0.5, 1).when(F.col("share") < 0.5, 0).alias("label"))
-        seen = each.join(label, "doc_id", "left")
-    else:
-        seen = each.withColumn("label", F.lit(None).cast("int"))
-    counted = seen.groupBy("pattern", "label").count()  # at most 3 to the number of voters
-    patterns: Counter[tuple[int, ...]] = Counter()
-    signs = {s: v for v, s in _SIGNS.items()}
-    of_pattern: dict[str, tuple[int, ...]] = {}
-    for r in counted.collect():
-        of_pattern[r["pattern"]] = votes = tuple(signs[s] for s in r["pattern"])
-        patterns[_annotated(votes, r["label"])] += r["count"]
-    posterior = fit_label_model(dict(patterns))
-
-    # a sentence's goal is the posterior of its own votes, where labelled with the annotators'
-    distinct = seen.groupBy("plain", "pattern").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    distinct = distinct.withColumn("at", F.xxhash64("plain", F.lit(23)))
-    picked = distinct.filter(F.col("pattern") != _SILENT).orderBy("at").limit(TRAIN_VOTED).collect()
-    picked += distinct.filter(F.col("pattern") == _SILENT).orderBy("at").limit(TRAIN_SILENT).collect()
-    rows = []
-    for r in picked:
-        votes = of_pattern[r["pattern"]]
-        label = r["low"] if r["low"] == r["high"] else None
-        rows.append((r["plain"], r["pattern"], posterior.get(_annotated(votes, label), posterior.get((*votes, 0), 1e-3))))
-    if not rows:
-        return judged.select("doc_id", F.lit(0.0).alias("score"))
-    logits = {p: _logit(posterior.get((*v, 0), 1e-3)) for p, v in of_pattern.items()}
-    model = spark.sparkContext.broadcast(train(rows, logits))  # FEATURES numbers, and one for each vote pattern
-    return judged.mapInPandas(partial(_score, model), f"doc_id {kind}, score double")
+    model = documents.sparkSession.sparkContext.broadcast(learn(documents, labels))  # FEATURES numbers
+    return documents.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {kind}, score double")
 
 
 def abusive_documents(documents: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
