@@ -37,7 +37,7 @@ TRAIN_VOTED, TRAIN_SILENT = 20_000, 20_000
 #: Labelled documents whose sentences it is trained on at most, and those sentences.
 LABELLED, TRAIN_LABELLED = 20_000, 150_000
 #: Hashed features, passes of the training, rounds of it, and the score from which a document is reported.
-FEATURES, EPOCHS, ROUNDS, THRESHOLD = 1 << 18, 6, 5, 0.5
+FEATURES, EPOCHS, ROUNDS, THRESHOLD = 1 << 18, 5, 5, 0.5
 #: Texts that are read at once.
 STEP = 512
 
@@ -155,16 +155,16 @@ class Classifier:
         return np.bincount(owner, weights=self.weights[feature], minlength=len(s.start)) + self.bias
 
 
-def train(feature: np.ndarray, owner: np.ndarray, goal: np.ndarray, heavy: np.ndarray, epochs: int = EPOCHS, rate: float = 0.25, shrink: float = 1e-5, seed: int = 3) -> Classifier:
-    """A logistic model of the probabilities ``goal`` with weights ``heavy``, by adaptive gradient steps."""
+def train(feature: np.ndarray, owner: np.ndarray, goal: np.ndarray, heavy: np.ndarray, epochs: int = EPOCHS, start: Classifier | None = None, rate: float = 0.25, shrink: float = 1e-5, seed: int = 3) -> Classifier:
+    """A logistic model of the probabilities ``goal`` with weights ``heavy``, by adaptive gradient steps from ``start`` on."""
     bounds = np.searchsorted(owner, np.arange(len(goal) + 1))
-    w, square = np.zeros(FEATURES), np.full(FEATURES, 1e-2)
-    bias, bias_square = -2.0, 1e-2
+    w, square = np.zeros(FEATURES) if start is None else start.weights.astype(float), np.full(FEATURES, 1e-2)
+    bias, bias_square = -2.0 if start is None else start.bias, 1e-2
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         order = random.permutation(len(goal))
-        for at in range(0, len(order), 128):
-            part = order[at : at + 128]
+        for at in range(0, len(order), 256):
+            part = order[at : at + 256]
             sizes = bounds[part + 1] - bounds[part]
             local = np.repeat(np.arange(len(part)), sizes)
             flat = feature[np.repeat(bounds[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
@@ -181,7 +181,7 @@ def train(feature: np.ndarray, owner: np.ndarray, goal: np.ndarray, heavy: np.nd
 
 def _accuracy(posterior: dict[tuple[int, ...], float], counts: dict[tuple[int, ...], float]) -> float:
     """How often the annotators' label of a sentence's document fits the sentence where the model is sure of it."""
-    right = wrong = 2.0
+    right, wrong = 8.0, 2.0
     for p, n in counts.items():
         alone = posterior.get((*p[:-1], 0))
         if p[-1] and alone is not None and alone > 0.9:
@@ -205,7 +205,9 @@ def fit(sample: Sentences, label: np.ndarray, bag: np.ndarray, posterior: dict[t
     feature, owner = features(sample)
     known = label != 0
     number = np.unique(bag[known], return_inverse=True)[1]
-    fold = np.where(known, bag & 1, 2)
+    with np.errstate(over="ignore"):
+        fold = np.where(known, (bag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(int) & 1, 2)
+    models: list[Classifier | None] = [None, None]
     for n in range(rounds):
         heavy = np.where(goal > 0.5, np.clip((goal <= 0.5).sum() / max((goal > 0.5).sum(), 1), 1, 20), 1.0) * np.where(known, 2.0, 1.0)
         if n == rounds - 1 or not known.any():
@@ -213,8 +215,8 @@ def fit(sample: Sentences, label: np.ndarray, bag: np.ndarray, posterior: dict[t
         odds = np.zeros(len(goal))
         for f in (0, 1):  # documents are judged by a model that has not seen their labels
             part = fold != f
-            model = train(feature[part[owner]], (np.cumsum(part) - 1)[owner[part[owner]]], goal[part], heavy[part])
-            odds = np.where(fold == f, model.score(sample), odds)
+            models[f] = train(feature[part[owner]], (np.cumsum(part) - 1)[owner[part[owner]]], goal[part], heavy[part], EPOCHS if n == 0 else 2, models[f])
+            odds = np.where(fold == f, models[f].score(sample), odds)
         # of an abusive document at least one sentence is abusive, of another none, as far as the annotators are right
         p = np.clip(1 / (1 + np.exp(-np.clip(odds[known], -12, 12))), 1e-4, 1 - 1e-4)
         some = np.clip(1 - np.exp(np.bincount(number, weights=np.log1p(-p))), 1e-4, 1 - 1e-4)
