@@ -45,18 +45,32 @@ def edits(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    # only cells at most ``most`` off the diagonal can be on a short path
+    far = most + 1
+    size = len(b)
+    before: list[int] = []
+    last = [j if j <= most else far for j in range(size + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+        low, high = max(1, i - most), min(size, i + most)
+        row = [far] * (size + 1)
+        row[0] = i if i <= most else far
+        least = row[0]
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            d = last[j - 1] + (x != y)
+            if last[j] < d:
+                d = last[j] + 1
+            if row[j - 1] < d:
+                d = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] < d:
+                d = before[j - 2] + 1
+            row[j] = d
+            if d < least:
+                least = d
+        if least > most:
+            return far
         before, last = last, row
-    return last[-1]
+    return min(last[-1], far)
 
 
 def deletions(word: str) -> set[str]:
