@@ -2,11 +2,14 @@
 
 Vectors are scaled to unit length and exact copies of one direction are folded
 into a group, so that a direction shared by a third of all rows is one row of
-the join. Pivots, a bounded sample of the vectors, split the space into cells;
-every vector goes to its ``probes`` nearest cells, as pivots are drawn from the
-data a dense region gets many of them. A cell is a block of the matrix join (a
-cell beyond ``split_rows`` becomes several blocks, and each pair of its blocks a
-tile). Within a tile, vectors are quantised to int8 and multiplied; with the
+the join. Pivots, a sample of the vectors, split the space into cells; every
+vector goes to its ``probes`` nearest cells, as pivots are drawn from the data a
+dense region gets many of them. Beyond ``most_pivots`` there are two levels: the
+pivots of the first are held by every task, those of the second, drawn in
+proportion to the data, are a table, and a vector meets those of its own cells
+only, so that the work for a vector does not grow. A cell is a block of the matrix
+join (a cell that holds more than ``split_rows``, as counted, becomes several
+blocks, and each pair of its blocks a tile). Within a tile, vectors are quantised to int8 and multiplied; with the
 exact residual norms of the quantisation, the product bounds the cosine from
 above. Pairs whose bound reaches the similarity asked for are recomputed in
 float, and heaps merge what the tiles found for each vector.
@@ -25,7 +28,6 @@ Empty tables give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 from collections.abc import Iterator
@@ -36,18 +38,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, is_small
 
 #: Rows that a cell should hold, and from which it is split into blocks.
 CELL_ROWS, SPLIT_ROWS = 2048, 16384
-#: Cells that each vector is put into; the bound on the number of pivots of a model.
+#: Cells that each vector is put into; pivots of a model that every task holds at most, beyond which there are two levels.
 PROBES, MAX_PIVOTS = 4, 16384
 #: The same without a floor on the similarity, where neighbours are too unlike to share a cell as often.
-FAR_PROBES, FAR_CELL_ROWS = 8, 4096
+FAR_PROBES, FAR_CELL_ROWS = 6, 3072
 #: Steps of a unit within which two vectors are one direction.
 DIRECTION = 1 << 21
-#: Vectors sampled to draw pivots and to foresee the size of cells, per pivot and at least.
-SAMPLE_PER_PIVOT, SAMPLE_LEAST = 4, 4096
 
 
 def _unit(flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +60,16 @@ def _unit(flat: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float32), good
 
 
+def _digests(model: str, ways: np.ndarray) -> list[bytes]:
+    """128 bits of each row of whole numbers, by two random linear forms of the model."""
+    with np.errstate(over="ignore"):
+        random = np.random.default_rng([*model.encode("utf-8", "replace"), ways.shape[1]])
+        forms = random.integers(0, 1 << 63, size=(ways.shape[1] + 1, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        sums = np.stack([(ways.astype(np.uint64) * forms[1:, i]).sum(axis=1) + forms[0, i] for i in (0, 1)], axis=1)
+        sums = (sums ^ sums >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return [row.tobytes() for row in sums ^ sums >> np.uint64(32)]
+
+
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """model, chunk_id, dim, vector -> model, chunk_id, gid, vec for usable vectors."""
     for batch in batches:
@@ -71,9 +81,13 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not part.num_rows:
                 continue
             vecs = [row.tobytes() for row in unit]
-            ways = [row.tobytes() for row in np.rint(unit * np.float32(DIRECTION)).astype(np.int32)]
-            models = part.column("model").to_pylist()
-            gids = [hashlib.blake2b(v, digest_size=16, key=hashlib.blake2b(m.encode(), digest_size=16).digest()).digest() for m, v in zip(models, ways)]
+            ways = np.rint(unit * np.float32(DIRECTION)).astype(np.int64)
+            models = np.array(part.column("model").to_pylist(), dtype=object)
+            gids = np.empty(len(models), dtype=object)
+            for m in set(models.tolist()):
+                own = np.flatnonzero(models == m)
+                gids[own] = _digests(m, ways[own])
+            gids = gids.tolist()
             yield pa.RecordBatch.from_arrays([part.column("model").cast(pa.string()), part.column("chunk_id").cast(pa.string()), pa.array(gids, pa.binary()), pa.array(vecs, pa.binary())], ["model", "chunk_id", "gid", "vec"])
 
 
@@ -85,43 +99,76 @@ def usable_vectors(chunks: DataFrame, embedders: DataFrame) -> DataFrame:
     return rows.select("model", "chunk_id", "dim", "vector").mapInArrow(_prepare, "model string, chunk_id string, gid binary, vec binary")
 
 
+def _nearest_rows(x: np.ndarray, pivots: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the ``probes`` nearest of ``pivots`` for each row of ``x``; all rows share one cell where there are no more pivots."""
+    if len(pivots) <= probes:
+        return np.zeros((len(x), 1), dtype=np.int64)
+    return np.argpartition(-(x @ pivots.T), probes - 1, axis=1)[:, :probes]
+
+
+def _rows(vecs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs.to_pylist()), dtype=np.float32).reshape(len(vecs), -1)
+
+
 class _Router:
-    """Pivots by model, and the number of blocks of each cell."""
+    """Sends vectors to the cells of their model's pivots, which every task holds."""
 
-    def __init__(self, pivots: dict[str, np.ndarray], blocks: dict[str, np.ndarray], probes: int):
-        self.pivots, self.blocks, self.probes, self.index = pivots, blocks, probes, {m: i for i, m in enumerate(sorted(pivots))}
+    def __init__(self, pivots: dict[str, np.ndarray], probes: int):
+        self.pivots, self.probes, self.index = pivots, probes, {m: i for i, m in enumerate(sorted(pivots))}
 
-    def cells(self, model: str, x: np.ndarray) -> np.ndarray:
-        """The cells of each row of ``x``: its nearest pivots."""
-        p = self.pivots[model]
-        if len(p) <= self.probes:
-            return np.zeros((len(x), 1), dtype=np.int64)
-        near = x @ p.T
-        return np.argpartition(-near, self.probes - 1, axis=1)[:, : self.probes]
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows of one model, with the row and the cell of each of their places."""
+        for model in set(batch.column("model").to_pylist()) & set(self.pivots):
+            part = batch.filter(pc.equal(batch.column("model"), model))
+            x = _rows(part.column("vec"))
+            for s in range(0, len(x), 4096):
+                cells = _nearest_rows(x[s : s + 4096], self.pivots[model], self.probes)
+                yield part, np.repeat(np.arange(s, s + len(cells)), cells.shape[1]), (self.index[model] << 32 | cells.ravel().astype(np.int64))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """model, id, vec -> tile, block, id, vec: each vector once for each tile it takes part in."""
+        """model, id, vec -> cell, id, vec: each vector once for each of its cells."""
         for batch in batches:
-            for model in set(batch.column("model").to_pylist()):
-                if model not in self.pivots:
-                    continue
-                part = batch.filter(pc.equal(batch.column("model"), model))
-                ids, vecs = part.column("id"), part.column("vec")
-                x = np.frombuffer(b"".join(vecs.to_pylist()), dtype=np.float32).reshape(part.num_rows, -1)
-                cells = self.cells(model, x)
-                salt = ids.to_numpy().astype(np.uint64)
-                rows, columns = np.indices(cells.shape)
-                rows, cell = rows.ravel(), cells.ravel().astype(np.int64)
-                count = self.blocks[model][cell]
-                own = (salt[rows] % count.astype(np.uint64)).astype(np.int64)
-                rows, cell, own, count = (np.repeat(a, count) for a in (rows, cell, own, count))
-                first = np.r_[True, (rows[1:] != rows[:-1]) | (cell[1:] != cell[:-1])] if len(rows) else np.zeros(0, bool)
-                at = np.arange(len(rows))
-                other = at - np.maximum.accumulate(np.where(first, at, 0))
-                low, high = np.minimum(own, other), np.maximum(own, other)
-                tile = ((self.index[model] << 24 | cell) << 15 | low) << 15 | high
+            for part, rows, cells in self._parts(batch):
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(own.astype(np.int32)), ids.take(take), vecs.take(take)], ["tile", "block", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells), part.column("id").take(take), part.column("vec").take(take)], ["cell", "id", "vec"])
+
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """model, id, vec -> cell, n: how many vectors of the batch each cell gets."""
+        for batch in batches:
+            for _, _, cells in self._parts(batch):
+                cell, n = np.unique(cells, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+
+def _second_level(probes: int):
+    """Rows sorted by (cell, salt, id), a cell's pivots first as rows of negative id -> cells of the second level; one cell's pivots are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, pivots = None, [], np.zeros((0, 0), np.float32)
+        for batch in batches:
+            places = np.stack([batch.column("cell").to_numpy(), batch.column("salt").to_numpy().astype(np.int64)])
+            ids, vecs = batch.column("id"), batch.column("vec")
+            starts = [0, *(np.flatnonzero((np.diff(places) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(starts[:-1], starts[1:]):
+                if e == s:
+                    continue
+                if tuple(places[:, s]) != current:
+                    current, held, pivots = tuple(places[:, s]), [], None
+                x, own = _rows(vecs.slice(s, e - s)), ids.slice(s, e - s).to_numpy()
+                first = int((own < 0).sum())
+                if first:
+                    held.append(x[:first])
+                    pivots = None
+                if first == len(x):
+                    continue
+                if pivots is None:
+                    pivots = np.concatenate(held) if held else np.zeros((0, x.shape[1]), np.float32)
+                near = _nearest_rows(x[first:], pivots, probes)
+                take = pa.array(np.repeat(np.arange(s + first, e), near.shape[1]))
+                # the cell of the second level is known by the cell of the first and the pivot's number
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, current[0])), pa.array(near.ravel().astype(np.int32)), ids.take(take), vecs.take(take)], ["cell", "part", "id", "vec"])
+
+    return run
 
 
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -191,10 +238,9 @@ def tile_neighbours(x: np.ndarray, y: np.ndarray | None, k: int, least: float, s
 
 def _tile(k: int, least: float):
     def run(table: pa.Table) -> pa.Table:
-        tile = table.column("tile")[0].as_py()
-        low, high = tile >> 15 & 32767, tile & 32767
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         ids = table.column("id").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
+        x = _rows(table.column("vec"))
         if low == high:
             i, j, cos = tile_neighbours(x, None, k, least, ids=ids)
         else:
@@ -245,48 +291,66 @@ def _merge_heaps(k: int):
     return run
 
 
-def fit_router(vectors: DataFrame, probes: int = PROBES, cell_rows: int = CELL_ROWS, split_rows: int = SPLIT_ROWS) -> _Router:
-    """Pivots drawn from a bounded, hash-chosen sample of ``vectors`` (model, chunk_id, vec)."""
-    counts = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {m: min(MAX_PIVOTS, max(1, math.ceil(n * probes / cell_rows))) for m, n in counts.items()}
-    sizes = {m: min(counts[m], max(SAMPLE_LEAST, SAMPLE_PER_PIVOT * wanted[m])) for m in counts}
-    if not counts:
-        return _Router({}, {}, probes)
-    hashed = F.pmod(F.xxhash64("chunk_id", F.lit(11)), F.lit(1 << 30))
+def draw_pivots(vectors: DataFrame, wanted: dict[str, int], counts: dict[str, int]) -> dict[str, np.ndarray]:
+    """About ``wanted`` of each model's vectors (model, id, vec), chosen by a hash of the vector."""
+    at = F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1 << 30))
     share = F.lit(0)
     for m, n in counts.items():
-        share = F.when(F.col("model") == m, F.lit(int((1 << 30) * min(1.0, 1.1 * sizes[m] / n)) + 1)).otherwise(share)
-    sample: dict[str, dict[bytes, None]] = {m: {} for m in counts}
-    for r in vectors.filter(hashed < share).select("model", "vec", hashed.alias("at")).orderBy("at").collect():
-        sample[r["model"]].setdefault(bytes(r["vec"]))
-    pivots, blocks = {}, {}
-    for m, vecs in sample.items():
-        if not vecs:
-            vecs = {bytes(vectors.filter(F.col("model") == m).select("vec").first()[0]): None}
-        x = np.stack([np.frombuffer(v, dtype=np.float32) for v in vecs])
-        pivots[m] = x[: wanted[m]]
-        router = _Router(pivots, {}, probes)
-        cells = np.concatenate([router.cells(m, x[s : s + 2048]).ravel() for s in range(0, len(x), 2048)])
-        load = np.bincount(cells, minlength=max(1, len(pivots[m]))) * (counts[m] / len(x))
-        blocks[m] = np.maximum(1, np.ceil(1.25 * load / split_rows)).astype(np.int64)
-    return _Router(pivots, blocks, probes)
-
-
-def similar_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_similarity: float = 0.9, probes: int = PROBES, cell_rows: int = CELL_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+        share = F.when(F.col("model") == m, F.lit(int((1 << 30) * min(1.0, (1.2 * wanted[m] + 40) / n)) + 1)).otherwise(share)
+    drawn: dict[str, list[bytes]] = {m: [] for m in counts}
+    for r in vectors.filter(at < share).select("model", "vec", at.alias("at")).orderBy("at").collect():
+        if len(drawn[r["model"]]) < wanted[r["model"]]:
+            drawn[r["model"]].append(bytes(r["vec"]))
+    return {m: np.stack([np.frombuffer(v, dtype=np.float32) for v in vecs]) if vecs else np.zeros((0, 0), np.float32) for m, vecs in drawn.items()}
+
+
+def cells_of(vectors: DataFrame, probes: int, cell_rows: int, most_pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, part, id, vec): each of ``vectors`` (model, id, vec) once for each of its cells; and (cell, part, n): their sizes."""
+    counts = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {m: max(1, math.ceil(n * probes / cell_rows)) for m, n in counts.items()}
+    deep = any(n > most_pivots for n in wanted.values())
+    first = {m: min(n, most_pivots) if not deep else max(1, min(most_pivots, math.ceil(math.sqrt(n)))) for m, n in wanted.items()}
+    outer = 2 if deep and probes > 1 else probes  # of two levels each gets its share of the probes
+    router = _Router(draw_pivots(vectors, first, counts), outer)
+    if not deep:
+        sizes = vectors.mapInArrow(router.count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        return vectors.mapInArrow(router, "cell long, id long, vec binary").withColumn("part", F.lit(0)), sizes.withColumn("part", F.lit(0))
+    # pivots of the second level: as many as keep the cells at their size, each within its own nearest cell
+    share = F.lit(0.0)
+    for m, n in counts.items():
+        share = F.when(F.col("model") == m, F.lit(min(1.0, wanted[m] / n / outer))).otherwise(share)
+    drawn = vectors.filter(F.pmod(F.xxhash64("vec", F.lit(13)), F.lit(1 << 30)) < share * F.lit(1 << 30))
+    pivots = drawn.mapInArrow(_Router(router.pivots, 1 if outer == 1 else outer), "cell long, id long, vec binary").select("cell", "id", "vec")
+    # a cell of many rows is routed by several tasks
+    salts = 16
+    rows = vectors.mapInArrow(router, "cell long, id long, vec binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    pivots = pivots.select("cell", (-F.col("id") - 1).alias("id"), "vec", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    both = rows.unionByName(pivots).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "id")
+    cells = cut(both.mapInArrow(_second_level(max(1, probes // outer)), "cell long, part int, id long, vec binary"))
+    return cells, cells.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def similar_vectors(
+    chunks: DataFrame, embedders: DataFrame, k: int = 5, min_similarity: float = 0.9, probes: int = PROBES, cell_rows: int = CELL_ROWS, split_rows: int = SPLIT_ROWS, most_pivots: int = MAX_PIVOTS
+) -> DataFrame:
     """chunk_id, neighbour_id, similarity, rank: the ``k`` most similar other
     chunks of the same model, of cosine ``min_similarity`` or more."""
-    usable = usable_vectors(chunks, embedders)
-    router = fit_router(usable, probes, cell_rows, split_rows)
+    usable = cut(usable_vectors(chunks, embedders))
     member = usable.groupBy("model", "chunk_id").agg(F.min("gid").alias("gid")).select("gid", "chunk_id")
     group = Window.partitionBy("gid").orderBy("chunk_id")
     heads = member.withColumn("position", F.row_number().over(group)).filter(F.col("position") <= k + 1)
     heads = heads.groupBy("gid").agg(F.array_sort(F.collect_list("chunk_id")).alias("heads"))
     heads = cut(heads.orderBy(F.col("heads")[0]).withColumn("id", F.monotonically_increasing_id()))
     vectors = usable.groupBy("gid").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
-    vectors = vectors.join(heads.select("gid", "id"), "gid").select("model", "id", "vec")
-
-    tiles = vectors.mapInArrow(router, "tile long, block int, id long, vec binary")
-    found = tiles.groupBy("tile").applyInArrow(_tile(k, min_similarity), "a long, b long, similarity double")
+    vectors = cut(vectors.join(heads.select("gid", "id"), "gid").select("model", "id", "vec"))
+
+    cells, sizes = cells_of(vectors, probes, cell_rows, most_pivots)
+    large = cut(sizes.filter(F.col("n") > split_rows).select("cell", "part", F.ceil(F.col("n") / split_rows).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    tiles = cells.join(F.broadcast(large) if is_small(large) else large, ["cell", "part"], "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = tiles.select("cell", "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "vec")
+    found = tiles.groupBy("cell", "part", "low", "high").applyInArrow(_tile(k, min_similarity), "a long, b long, similarity double")
     best = found.repartition("a").sortWithinPartitions("a").mapInArrow(_merge_heaps(k), "a long, b long, similarity double")
 
     # Copies of one direction are each other's nearest; a group of more than k fills its members' ranks.
@@ -301,9 +365,9 @@ def similar_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_sim
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, probes: int = FAR_PROBES, cell_rows: int = FAR_CELL_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def nearest_vectors(chunks: DataFrame, embedders: DataFrame, k: int = 5, probes: int = FAR_PROBES, cell_rows: int = FAR_CELL_ROWS, split_rows: int = SPLIT_ROWS, most_pivots: int = MAX_PIVOTS) -> DataFrame:
     """As :func:`similar_vectors` without a floor: every chunk gets ``k`` neighbours if its model has so many others."""
-    return similar_vectors(chunks, embedders, k, -1.0, probes, cell_rows, split_rows)
+    return similar_vectors(chunks, embedders, k, -1.0, probes, cell_rows, split_rows, most_pivots)
 
 
 def similar_pairs(chunks: DataFrame, embedders: DataFrame, k: int = 5, min_similarity: float = 0.9, **options: int) -> DataFrame:

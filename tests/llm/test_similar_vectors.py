@@ -86,7 +86,7 @@ def test_the_registered_query_of_neighbours_has_no_floor(spark, tmp_path):
     far = np.eye(16, dtype=np.float32)
     spark.createDataFrame([("m", f"c{i:02}", v.tolist(), 0) for i, v in enumerate(far)], SCHEMA).write.parquet(str(tmp_path / "chunks.parquet"))
     spark.createDataFrame([("m", 16)], "model string, dim int").write.parquet(str(tmp_path / "embedders.parquet"))
-    assert QUERIES["p1_nearest"](spark, str(tmp_path)).groupBy("chunk_id").count().filter("count = 5").count() == 16
+    assert QUERIES["p1_neighbours"](spark, str(tmp_path)).groupBy("chunk_id").count().filter("count = 5").count() == 16
 
 
 def test_ties_at_the_last_rank_go_by_chunk_id(spark):
@@ -96,3 +96,16 @@ def test_ties_at_the_last_rank_go_by_chunk_id(spark):
     unit = {c: np.array(v) / np.linalg.norm(v) for _, c, v, _ in rows}
     want = sorted((-round(float(unit["a"] @ unit[c]), 6), c) for c in unit if c != "a")[:5]
     assert {r["neighbour_id"] for r in got} == {c for _, c in want}
+
+
+def test_two_levels_of_pivots_keep_recall(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 16))
+    x = (base[np.arange(3000) % 150] + 0.3 * rng.normal(size=(3000, 16))).astype(np.float32)
+    rows = [("m", f"c{i:04}", v.tolist(), 0) for i, v in enumerate(x)]
+    got = sv.nearest_vectors(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("m", 16)], "model string, dim int"), cell_rows=256, most_pivots=32, split_rows=400).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T
+    np.fill_diagonal(near, -9)
+    want = {(f"c{i:04}", f"c{j:04}") for i, row in enumerate(np.argsort(-near, axis=1)[:, :5]) for j in row}
+    assert len(got) == 5 * len(rows) and len({(r["chunk_id"], r["neighbour_id"]) for r in got} & want) >= 0.9 * len(want)
