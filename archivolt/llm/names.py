@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 # Titles and degrees, letters that do not decompose, legal forms, common words of
 # organisations, and short forms of given names.
@@ -17,7 +18,7 @@ LEGAL = {
 BUSINESS = frozenset(
     "analytics architects association bank capital centre clinic college consulting council design development energy engineering finance foods foundation group harbour holdings hospital institute instruments insurance international "
     "investments laboratories library logistics management manufacturing media ministry museum office partners pharma printing properties publishing railways research robotics school services shipping software solutions "
-    "studios systems technologies textiles trading transport university ventures works console gateway index platform portal rollout warehouse".split()
+    "studios systems technologies textiles trading transport university ventures works".split()
 )
 CONTRACTIONS = {"mfg": "manufacturing", "intl": "international", "mgmt": "management", "svcs": "services", "svc": "services", "labs": "laboratories", "bldg": "building", "dept": "department", "mkt": "marketing", "ctr": "centre"}
 NICKNAMES = {
@@ -79,11 +80,11 @@ def deletions(word: str) -> set[str]:
 
 
 def near_words(a: str, b: str) -> bool:
-    """Spellings of one invented word: equal, one edit apart, or two in long words."""
+    """Spellings of one invented word: equal, one edit apart, or two in long words of one first letter."""
     if a == b:
         return True
     short = min(len(a), len(b))
-    most = 0 if short < 5 else 1 if short < 9 else 2
+    most = 0 if short < 5 else 1 if short < 9 or a[0] != b[0] else 2
     return bool(most) and edits(a, b, most) <= most
 
 
@@ -97,36 +98,28 @@ def shortens(short: str, word: str) -> bool:
     return len(short) >= 4 and all(c in rest for c in short) and not any(c in "aeiou" for c in short[2:-1])
 
 
+#: How much more frequent a word must be than one that is a slip for it, and occurrences from which a word is established.
+RATIO, ESTABLISHED = 4, 3
+
+
 class Words:
-    """Frequent words with their weights, and what a rarer word should have been."""
+    """What is known of words: how many names tell them (``weights``), the far more frequent word that one is a slip for (``slips``), and which are ``common``."""
 
-    def __init__(self, weights: dict[str, int], ratio: int = 4, common: frozenset[str] = frozenset()):
-        self.weights, self.ratio, self.common = weights, ratio, common
-        self.index: dict[str, list[str]] = {}
-        for w, n in weights.items():
-            if n >= 3 and len(w) >= 3:
-                for d in deletions(w):
-                    self.index.setdefault(d, []).append(w)
+    def __init__(self, weights: dict[str, int], slips: dict[str, str] | None = None, common: frozenset[str] | set[str] = frozenset()):
+        self.weights, self.slips, self.common = weights, slips or {}, common
 
     def snap(self, word: str) -> str:
         """The far more frequent word that is one edit away, else the word."""
-        own = self.weights.get(word, 0)
-        if len(word) < 3:
-            return word
-        best = None
-        for d in deletions(word):
-            for w in self.index.get(d, ()):
-                if w != word and self.weights[w] >= max(3, self.ratio * own) and (best is None or self.weights[w] > self.weights[best]) and edits(word, w, 1) == 1:
-                    best = w
-        return best or word
+        return self.slips.get(word, word)
 
     def established(self, word: str) -> bool:
-        return self.weights.get(word, 0) >= 3
+        return self.weights.get(word, 0) >= ESTABLISHED
+
 
-    def comparable(self, a: str, b: str) -> bool:
-        """Whether both words are established and about as frequent, so that neither is a slip for the other."""
-        m, n = sorted((self.weights.get(a, 0), self.weights.get(b, 0)))
-        return m >= 3 and n < self.ratio * m
+def comparable(m: int, n: int) -> bool:
+    """Whether words of ``m`` and ``n`` occurrences are both established and about as frequent, so that neither is a slip for the other."""
+    m, n = sorted((m, n))
+    return m >= ESTABLISHED and n < RATIO * m
 
 
 @dataclass
@@ -140,6 +133,7 @@ class Name:
     middle: str = ""
     legal: str = ""
     weak: bool = False
+    weights: tuple[int, ...] = ()
 
     @property
     def normal(self) -> str:
@@ -212,11 +206,18 @@ def thing_tokens(name: str) -> list[str]:
     return [t for t in re.findall(r"[^\W\d_]+|\d+", thing_text(name)) if t not in LEGAL and t not in ("the", "and")]
 
 
+@lru_cache(200_000)
 def invented(word: str) -> bool:
     """Whether a word may be the name that tells a thing: long, and no business word, short form or slip of one."""
     return len(word) >= 5 and word not in BUSINESS and word not in CONTRACTIONS and not any(shortens(word, b) or abs(len(word) - len(b)) <= 1 and edits(word, b, 1) <= 1 for b in BUSINESS)
 
 
+def suffixes(name: str) -> list[str]:
+    """The words that a thing's name of one word may end in."""
+    tokens = [t for t in re.findall(r"[^\W\d_]+|\d+", thing_text(name)) if t not in LEGAL and t not in ("the", "and")]
+    return [t[c:] for t in tokens for c in range(4, len(t) - 3)] if len(tokens) <= 2 else []
+
+
 def read_thing(name: str, kind: str, words: Words) -> Name | None:
     """The name of an organisation, project or system: legal form, articles and the kind's own word cut, typing errors in common words mended."""
     tokens = re.findall(r"[^\W\d_]+|\d+", thing_text(name))
@@ -244,7 +245,7 @@ def read_thing(name: str, kind: str, words: Words) -> Name | None:
     beside = []
     for i, t in enumerate(mended):
         if i != at:
-            wide = [] if t in BUSINESS else [CONTRACTIONS[t]] if t in CONTRACTIONS else [w for w in BUSINESS if len(t) >= 3 and w.startswith(t)]
+            wide = [] if t in BUSINESS or kind != "organization" and t not in CONTRACTIONS else [CONTRACTIONS[t]] if t in CONTRACTIONS else [w for w in BUSINESS if len(t) >= 3 and w.startswith(t)]
             beside.append(wide[0] if len(wide) == 1 else t)
     letters = kind == "organization" and len(plain) == 1 and 3 <= len(plain[0]) <= 6 and not legal and not common(plain[0])
     return Name(mended[at], tuple(beside), legal=legal, weak=letters)
@@ -270,15 +271,15 @@ def same_words(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return True
 
 
-def same_person(a: Name, b: Name, words: Words) -> bool:
+def same_person(a: Name, b: Name) -> bool:
     """Two full names of one person: near surnames, and given names that agree."""
     if not near_words(a.head, b.head):
         return False
     if set(a.words) & set(b.words):
         return True
-    for x in a.words:
-        for y in b.words:
-            if min(len(x), len(y)) >= 4 and not words.comparable(x, y) and edits(x, y, 1) <= 1:
+    for x, m in zip(a.words, a.weights or (0,) * len(a.words)):
+        for y, n in zip(b.words, b.weights or (0,) * len(b.words)):
+            if min(len(x), len(y)) >= 4 and not comparable(m, n) and edits(x, y, 1) <= 1:
                 return True
     return False
 
