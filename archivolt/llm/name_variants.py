@@ -138,14 +138,17 @@ def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 beside = [every[j] for j in rest]
                 letters = {w[n] for w in beside for n in range(min(2, len(w)))} or {""}
                 parts = names.deletions(own)
-                if len(own) >= 8:  # long heads may be two edits apart
-                    parts |= {d for p in parts if p != own for d in names.deletions(p)}
+                number_of = [int(number[j]) for j in rest]
+                if len(own) >= 9:  # long heads of one first letter may be two edits apart
+                    rest_of = names.deletions(own[1:])
+                    twice = {d for p in rest_of for d in names.deletions(p)}
+                    out += [(f"{kind}|{own[0]}{d}|2", node, kind, own, beside, number_of) for d in twice]
                 if kind != "person" and not i and len(every) <= 2:  # a name of two words may be written as one
                     glued = {head} if not len(words) else {head + words[0], words[0] + head}
                     mark = ["apart" if len(words) else "glued"]
                     out += [(f"{kind}={d}", node, kind, g, mark, [0]) for g in sorted(glued) if len(g) >= 9 for d in names.deletions(g)]
                 for d in parts:
-                    out += [(f"{kind}|{d}|{letter}", node, kind, own, beside, [int(number[j]) for j in rest]) for letter in letters]
+                    out += [(f"{kind}|{d}|{letter}", node, kind, own, beside, number_of) for letter in letters]
         yield pd.DataFrame(out, columns=["block", "node", "kind", "head", "words", "weights"])
 
 

@@ -76,3 +76,29 @@ def test_things_are_blocked_by_each_invented_word(spark):
     groups = {r["key"].split(":")[1]: r["component"] for r in variant_groups(spark.createDataFrame(rows, "key string, kind string")).collect()}
     assert len({groups[n] for n in ("virdruskeum zibblador", "virdruskeun zibblador", "zibblador virdruskeum", "virdruskeum zibbladur")}) == 1
     assert len(set(groups.values())) == 3
+
+
+def groups_of(spark, rows, **options):
+    return {r["key"]: r["component"] for r in variant_groups(spark.createDataFrame(rows, "key string, kind string"), **options).collect()}
+
+
+def test_a_spelling_that_only_the_united_profile_matches(spark):
+    """The third has the head of one spelling and the given name of the other, each one edit away; it matches neither, but their union."""
+    rows = [(f"person:{n}", "person") for n in ("johannak bronthom", "johannak bronthomx", "johannakk bronthom", "joannakk bronthomxy")]
+    groups = groups_of(spark, rows)
+    assert len(set(groups.values())) == 1
+    without = groups_of(spark, [r for r in rows if r[0] not in ("person:johannakk bronthom",)])
+    assert without["person:joannakk bronthomxy"] != without["person:johannak bronthom"]
+
+
+def test_a_surname_in_many_rows_is_cut_into_parts(spark):
+    given = [f"{a}{b}{c}" for a in "bdfg" for b in ("aro", "elu", "imo", "oka", "une") for c in ("vast", "lent", "mirk", "dorn", "pash")]
+    rows = [(f"person:{g} bronthomeska", "person") for g in given] + [(f"person:{g[:3]}{g[4:]} bronthomeska", "person") for g in given[::10]]
+    whole, parts = groups_of(spark, rows), groups_of(spark, rows, block_rows=16)
+    assert whole == parts and len(set(whole.values())) <= len(given)
+    assert all(whole[f"person:{g} bronthomeska"] == whole[f"person:{g[:3]}{g[4:]} bronthomeska"] for g in given[::10])
+
+
+def test_glued_words(spark):
+    groups = groups_of(spark, [(f"system:{n}", "system") for n in ("pibralksen drumloft", "pibralksendrumloft", "drumloft pibralksen", "pibralksen harrowgate")])
+    assert len(set(groups.values())) == 2 and groups["system:pibralksen drumloft"] == groups["system:pibralksendrumloft"] == groups["system:drumloft pibralksen"]
