@@ -5,7 +5,10 @@ the number of tokens of all the sources it names. A source is repeated ``rate =
 target_share * size / tokens`` times, at most ``max_repeats``: each document is
 emitted floor(rate) times, plus once more with a probability equal to the
 fraction, decided by a hash of mix, document and seed. A source too small for its
-share is repeated ``max_repeats`` times and reported as capped.
+share is repeated ``max_repeats`` times and reported as capped; the others keep
+their part of the nominal size, so that their reached shares are above the targets.
+With ``exact`` the size is reduced to what the scarcest source that has documents
+allows, so that none is capped and all targets are reached.
 
 Documents without tokens (null or empty text) and documents of a null source or
 of a source that the mix does not name are in no selection. A source without
@@ -29,7 +32,7 @@ def token_sizes(documents: DataFrame, tokenizers: str = TOKENIZERS, name: str =
     return cut(count_tokens(rows, "text", tokenizers, name))
 
 
-def mix_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def mix_rates(sizes: DataFrame, targets: DataFrame, exact: bool = False) -> DataFrame:
     """mix, source, target_share, max_repeats, source_docs, source_tokens, rate, capped: one row for each target."""
     wanted = (
         targets.filter(F.col("mix").isNotNull() & F.col("source").isNotNull())
@@ -38,7 +41,9 @@ def mix_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
     totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
     rows = wanted.join(totals, "source", "left").na.fill(0, ["source_docs", "source_tokens"])
-    size = rows.groupBy("mix").agg(F.sum("source_tokens").alias("mix_tokens"))
+    scarce = F.when((F.col("target_share") > 0) & (F.col("source_tokens") > 0), F.col("max_repeats") * F.col("source_tokens") / F.col("target_share"))
+    size = F.least(F.sum("source_tokens"), F.floor(F.min(scarce)).cast("long")) if exact else F.sum("source_tokens")
+    size = rows.groupBy("mix").agg(size.alias("mix_tokens"))
     ideal = F.when(F.col("source_tokens") > 0, F.col("target_share") * F.col("mix_tokens") / F.col("source_tokens")).otherwise(0.0)
     rows = rows.join(size, "mix").withColumn("ideal", ideal)
     return rows.select(
@@ -60,17 +65,17 @@ def mixed_copies(sizes: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame
     return rows.filter(F.col("copies") > 0).select("mix", "source", "doc_id", "n_tokens", "copies")
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizers: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizers: str = TOKENIZERS, name: str = VOCABULARY, exact: bool = False) -> DataFrame:
     """mix, source, doc_id, copy (from 1), n_tokens: one row for each use of a document."""
     sizes = token_sizes(documents, tokenizers, name)
-    rows = mixed_copies(sizes, cut(mix_rates(sizes, targets)), seed)
+    rows = mixed_copies(sizes, cut(mix_rates(sizes, targets, exact)), seed)
     return rows.select("mix", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "n_tokens")
 
 
-def mix_shares(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizers: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+def mix_shares(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizers: str = TOKENIZERS, name: str = VOCABULARY, exact: bool = False) -> DataFrame:
     """The shares reached: :func:`mix_rates` with used_docs, used_tokens and reached_share."""
     sizes = token_sizes(documents, tokenizers, name)
-    rates = cut(mix_rates(sizes, targets))
+    rates = cut(mix_rates(sizes, targets, exact))
     used = mixed_copies(sizes, rates, seed).groupBy("mix", "source").agg(F.count(F.lit(1)).alias("used_docs"), F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"))
     rows = rates.join(used, ["mix", "source"], "left").na.fill(0, ["used_docs", "used_tokens"])
     total = rows.groupBy("mix").agg(F.sum("used_tokens").alias("__all"))

@@ -1,7 +1,6 @@
 """All similar pairs between set-valued records, by recursive chosen-path splitting.
 
-Records with the same set are one class. In each of ``repeats`` independent
-trees, every class is put into the nodes of some of its own tokens: a token of a
+Records with the same set are one class. In each of several independent trees, every class is put into the nodes of some of its own tokens: a token of a
 set of n is chosen where its hash, under the node's path, is below
 1 / (threshold * n), so that two sets share a chosen token at each level with
 about the chance that keeps similar pairs together (1 expected shared child or
@@ -11,8 +10,10 @@ split by further levels on the cluster, and what is still too large after
 ``levels`` of them is cut into blocks whose pairs are compared tile by tile, so
 no node is dropped or capped. Every reported pair is verified on the whole sets.
 
-Repeated trees reach the recall; two sets of Jaccard similarity s at the
-threshold share a child with probability of about 0.7 to 0.8 a level.
+Repeated trees reach the recall: two sets at the threshold share one child a level
+on average, so that they stay together through d levels with the chance that a
+critical branching process survives d generations, at least; the number of trees
+is what the ``recall`` asked for needs at the greatest depth.
 
 Results for odd input: null sets, null members and members that are empty after
 cleaning are dropped; an empty set makes no pair. Rows of one id are united.
@@ -22,6 +23,7 @@ by 64-bit hashes of their members.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,15 +34,23 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Trees, the size of a node that is compared by brute force, levels within a task.
-REPEATS, BRUTE, DEPTH = 10, 96, 6
+#: Share of the pairs at the threshold to be found, the size of a node that is compared by brute force, levels within a task.
+RECALL, BRUTE, DEPTH = 0.95, 96, 4
 #: Rows of a node that one task may hold, and further levels on the cluster before it is tiled.
-NODE_ROWS, LEVELS = 8192, 4
+NODE_ROWS, LEVELS = 8192, 2
 
 _UNIT = 1 << 30
 _PAIRS = "a binary, b binary, shared int, united int"
 
 
+def trees_for(recall: float, depth: int) -> int:
+    """Trees that find a pair at the threshold with probability ``recall`` if each splits ``depth`` times."""
+    gone = 0.0  # a pair's chance to be parted, each level having one shared child on average
+    for _ in range(depth):
+        gone = math.exp(gone - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(gone))) if gone else 1
+
+
 def clean_member(column: Column) -> Column:
     """Case-folded, white space trimmed and collapsed."""
     return F.replace(F.lower(F.trim(F.regexp_replace(column, r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
@@ -201,8 +211,9 @@ def _chosen(tokens: Column, path: Column, threshold: float, seed: int) -> Column
     return F.filter(tokens, lambda t: F.pmod(F.xxhash64(t, path, F.lit(seed)), F.lit(_UNIT)) * threshold * F.size(tokens) < _UNIT)
 
 
-def class_pairs(classes: DataFrame, threshold: float, repeats: int = REPEATS, node_rows: int = NODE_ROWS, levels: int = LEVELS, seed: int = 5) -> DataFrame:
+def class_pairs(classes: DataFrame, threshold: float, recall: float = RECALL, node_rows: int = NODE_ROWS, levels: int = LEVELS, seed: int = 5) -> DataFrame:
     """a < b (sid), shared, united: pairs of classes of Jaccard similarity ``threshold`` or more."""
+    repeats = trees_for(recall, 1 + levels + DEPTH)
     trees = classes.select("sid", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("path"))
 
     def split(rows: DataFrame) -> DataFrame:
@@ -234,14 +245,14 @@ def class_pairs(classes: DataFrame, threshold: float, repeats: int = REPEATS, no
     return (pairs.unionByName(tiles) if tiles is not None else pairs).distinct()
 
 
-def similar_set_pairs(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: int) -> tuple[DataFrame, DataFrame]:
+def similar_set_pairs(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (a, b, similarity) and the membership (sid, key)."""
     classes, membership = set_classes(members, key, member)
     pairs = class_pairs(classes, threshold, **options)
     return pairs.select("a", "b", (F.col("shared") / F.col("united")).alias("similarity")), membership
 
 
-def similar_records(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: int) -> DataFrame:
+def similar_records(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: float) -> DataFrame:
     """``key``_a < ``key``_b, similarity: all pairs of records, copies expanded."""
     pairs, held = similar_set_pairs(members, key, member, threshold, **options)
     left, right = (held.select(F.col("sid").alias(side), F.col(key).alias(f"__{side}")) for side in "ab")
@@ -250,7 +261,7 @@ def similar_records(members: DataFrame, key: str, member: str = "member", thresh
     return across.unionByName(within).select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b"), "similarity")
 
 
-def record_classes(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: int) -> DataFrame:
+def record_classes(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: float) -> DataFrame:
     """``key``, class_id, copies, links: one row for each record, with the number of other classes its set is similar to."""
     pairs, held = similar_set_pairs(members, key, member, threshold, **options)
     links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").count().withColumnRenamed("count", "links")

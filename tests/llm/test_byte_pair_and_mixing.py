@@ -51,4 +51,24 @@ def test_mixing(spark):
     assert shares["tiny"]["capped"] and not shares["big"]["capped"] and shares["none"]["reached_share"] == 0
     assert shares["big"]["reached_share"] == pytest.approx(0.55, abs=0.06) and sum(r["reached_share"] for r in shares.values()) == pytest.approx(1)
     assert mixing.mix(rows.limit(0), targets).count() == 0 and mixing.mix(rows, targets.limit(0)).count() == 0
-    assert [tuple(r) for r in mixing.mix(rows, targets).collect()].sort() == [tuple(r) for r in used].sort()
+    assert sorted(map(tuple, mixing.mix(rows, targets).collect())) == sorted(map(tuple, used))
+
+
+def test_exact_shares(spark):
+    """With ``exact`` the mix is as large as the scarcest source allows, and no share overshoots."""
+    docs = [(i, "word " * 20, "big") for i in range(3000)] + [(10_000 + i, "word " * 20, "tiny") for i in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 0.5, 3), ("m", "tiny", 0.5, 2)], "mix string, source string, target_share double, max_repeats int")
+    plain, exact = ({r["source"]: r["reached_share"] for r in mixing.mix_shares(rows, targets, exact=e).collect()} for e in (False, True))
+    assert plain["tiny"] < 0.3 and exact["tiny"] == pytest.approx(0.5, abs=0.03) == exact["big"]
+
+
+def test_ids_are_those_of_a_public_implementation(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    reference.encode_special_tokens = True
+    texts = ["Hello, world!  It's 2024.", "naïve café – Zürich", "日本語のテキスト", "\t tabs\n\nand   spaces ", "<|endoftext|> aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 700, "👩‍👩‍👧 emoji", "don't we'll I'm"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in byte_pair.encode(rows, "doc_id", "text").collect()}
+    assert got == {i: reference.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}

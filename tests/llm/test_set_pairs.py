@@ -56,3 +56,28 @@ def test_nodes_recurse_and_verify():
     for seed in range(12):
         got |= {(min(i, j), max(i, j)) for i, j, _, _ in sp.node_pairs(sets, seed, 0.6, brute=40, depth=3)}
     assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def together(a, b, path, threshold, depth):
+    """Whether two sets share a node after ``depth`` splits of one tree, by the hashes and the rule of the operator."""
+    if not depth:
+        return True
+    for t in np.intersect1d(a, b).tolist():
+        one = np.array([t], dtype=np.int64)
+        if (sp._mix(one, path) < 1 / (threshold * max(len(a), len(b)))).all():
+            if together(a, b, (path * 6364136223846793005 + t * 2 + 1) & (1 << 64) - 1, threshold, depth - 1):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("depth", [3, 7, 8])
+def test_trees_reach_the_recall_at_the_threshold(depth):
+    """Nested sets of Jaccard similarity exactly 0.6, kept in large nodes down to the depth."""
+    rng = np.random.default_rng(depth)
+    trees = sp.trees_for(0.95, depth)
+    kept = 0
+    for _ in range(300):
+        b = rng.integers(0, 1 << 60, 10)
+        kept += any(together(b[:6], b, seed, 0.6, depth) for seed in range(trees))
+    assert kept >= 0.93 * 300 and trees <= 20
+    assert [sp.trees_for(r, 7) for r in (0.5, 0.9, 0.95, 0.99)] == sorted(sp.trees_for(r, 7) for r in (0.5, 0.9, 0.95, 0.99))
