@@ -4,8 +4,8 @@ Every spelling is read into a head (the surname, or the word that names a thing)
 the words beside it, initials and legal form (:mod:`.names`), with what the counts
 of all words tell of its own words: which are given names, slips for a far more
 frequent word, or common. Spellings that read the same are one node. Nodes are
-blocked by the head with one letter less (long heads: two) and by a letter of the
-words beside it, and matched within each block; a block of many nodes is cut into
+blocked by the head with one letter less and by a letter of the words beside it
+(two slips in a long head are found where both words lose one letter to be equal), and matched within each block; a block of many nodes is cut into
 parts, and each pair of its parts is matched in a task of its own. Matches are
 merged over all blocks into components. Then merged components re-enter: the heads
 and words of all their spellings are united, and each new head-and-words that the
@@ -139,14 +139,6 @@ def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 letters = {w[n] for w in beside for n in range(min(2, len(w)))} or {""}
                 parts = names.deletions(own)
                 number_of = [int(number[j]) for j in rest]
-                if len(own) >= 9:  # long heads of one first letter may be two edits apart
-                    rest_of = names.deletions(own[1:])
-                    twice = {d for p in rest_of for d in names.deletions(p)}
-                    out += [(f"{kind}|{own[0]}{d}|2", node, kind, own, beside, number_of) for d in twice]
-                if kind != "person" and not i and len(every) <= 2:  # a name of two words may be written as one
-                    glued = {head} if not len(words) else {head + words[0], words[0] + head}
-                    mark = ["apart" if len(words) else "glued"]
-                    out += [(f"{kind}={d}", node, kind, g, mark, [0]) for g in sorted(glued) if len(g) >= 9 for d in names.deletions(g)]
                 for d in parts:
                     out += [(f"{kind}|{d}|{letter}", node, kind, own, beside, number_of) for letter in letters]
         yield pd.DataFrame(out, columns=["block", "node", "kind", "head", "words", "weights"])
@@ -173,14 +165,12 @@ def block_edges(kind: str, left: list[tuple[str, names.Name]], right: list[tuple
     """Edges that connect the nodes that match in a block, or across its two parts, to the least of them. Only names that share a word
     beside the head less a letter (people) or a first letter of one (things) are compared."""
     person = kind == "person"
-    same = names.same_person if person else names.same_thing if kind != "glued" else lambda a, b: a.words != b.words and names.near_words(a.head, b.head)
+    same = names.same_person if person else names.same_thing
     forest = _Forest()
     index: dict[str, list[int]] = {}
     other = left if right is None else right
 
     def marks(name: names.Name) -> set[str]:
-        if kind == "glued":
-            return {""}
         return {d for w in name.words for d in names.deletions(w)} if person else {w[n] for w in name.words for n in range(min(2, len(w)))} or {""}
 
     for i, (_, name) in enumerate(other):
@@ -205,7 +195,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if current is not None:
-            kind = "glued" if "=" in current[0] else current[0].split("|", 1)[0]
+            kind = current[0].split("|", 1)[0]
             edges.update((min(e), max(e)) for e in block_edges(kind, left, right if current[1] != current[2] else None))
 
     def take() -> pa.RecordBatch:

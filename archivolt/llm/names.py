@@ -238,6 +238,7 @@ def read_thing(name: str, kind: str, words: Words) -> Name | None:
         whole = mended[0]
         cuts = range(4, len(whole) - 3)
         tails = [(c, whole[c:]) for c in cuts if common(whole[c:])] or [(c, words.snap(whole[c:])) for c in cuts if len(whole) - c >= 5 and common(words.snap(whole[c:]))]
+        tails = tails or [(c, whole[c:]) for c in cuts if len(whole) - c >= 5 and words.established(whole[c:])]
         if tails:
             mended = [whole[: tails[0][0]], tails[0][1]]
     rest = [i for i, t in enumerate(mended) if not common(t) and len(t) >= 5 and not any(shortens(t, b) for b in BUSINESS)]
