@@ -7,19 +7,24 @@ import json
 import sys
 import uuid
 
-from .config import load
+from .config import load, load_questions
 from .engine import Engine
 from .session import build_session
 
-STAGES = ("scan", "extract", "enrich", "bundle", "index", "drain")
+STAGES = ("scan", "extract", "enrich", "bundle", "validate", "index", "drain")
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="archivolt")
     parser.add_argument("--config", help="a TOML file of settings")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in STAGES:
+    for name in (*STAGES, "report", "graph", "review"):
         commands.add_parser(name)
+    commands.choices["scan"].add_argument("--no-hash", action="store_true", help="only look, do not hash")
+    commands.choices["enrich"].add_argument("-n", type=int, help="records at most, the newest files first")
+    commands.choices["drain"].add_argument("-n", type=int, help="records at most")
+    commands.choices["drain"].add_argument("--budget", type=float, help="seconds after which no more records are begun")
+    commands.add_parser("eval").add_argument("questions", help="a TOML file of questions")
     commands.add_parser("search").add_argument("text", nargs="+")
     commands.add_parser("concept").add_argument("id")
     walk = commands.add_parser("traverse")
@@ -34,8 +39,25 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     engine = Engine(build_session(), config)
     run_id = uuid.uuid4().hex[:12]
-    if args.command in ("scan", "drain"):
-        out = getattr(engine, args.command)(run_id)
+    if args.command == "scan":
+        out = engine.scan(run_id, not args.no_hash)
+    elif args.command == "drain":
+        out = engine.drain(run_id, args.n, args.budget)
+    elif args.command == "enrich":
+        out = engine.enrich(limit=args.n)
+    elif args.command == "report":
+        for name, rows in engine.report().items():
+            print(name)
+            rows.show(50, truncate=False)
+        return 0
+    elif args.command == "graph":
+        tables = engine.graph_tables()
+        out = {name: t[0].count() for name, t in {**tables.nodes, **tables.edges}.items()}
+    elif args.command == "review":
+        print(engine.entity_review())
+        return 0
+    elif args.command == "eval":
+        out = engine.evaluate(load_questions(args.questions))
     elif args.command in STAGES:
         out = getattr(engine, args.command)()
     elif args.command == "search":

@@ -90,6 +90,30 @@ def _merged(default, values: dict):
     return replace(default, **changes)
 
 
+def load_questions(path: str | Path) -> list[tuple[str, str, list[str]]]:
+    """(id, question, expected concept ids) of a TOML file of ``[[question]]`` tables with ``id``, ``text`` and
+    ``expect``; a question without ``expect`` has no answer in the catalogue."""
+    with open(path, "rb") as fh:
+        items = tomllib.load(fh).get("question", [])
+    out = []
+    for n, item in enumerate(items, 1):
+        if not str(item.get("text", "")).strip():
+            raise ValueError(f"question {n} has no text")
+        out.append((str(item.get("id", n)), item["text"].strip(), [str(c) for c in item.get("expect", [])]))
+    return out
+
+
+def load_aliases(path: str | Path) -> list[tuple[str, str]]:
+    """(alias key, key) of a TOML file with one table for each kind: ``[person]``, ``"canonical name" = ["alias", ...]``."""
+    with open(path, "rb") as fh:
+        kinds = tomllib.load(fh)
+    key = lambda kind, name: f"{kind.lower()}:{' '.join(name.split()).lower().replace('ß', 'ss')}"
+    rows = [(key(kind, a), key(kind, name)) for kind, names in kinds.items() for name, aliases in names.items() for a in aliases]
+    if twice := sorted({a for a, _ in rows if len({k for b, k in rows if b == a}) > 1}):
+        raise ValueError(f"an alias of two names: {', '.join(twice)}")
+    return sorted(set(rows))
+
+
 def load(path: str | Path | None = None) -> Config:
     """The settings of a TOML file over the defaults; unknown names are errors."""
     if path is None:

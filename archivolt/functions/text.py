@@ -99,7 +99,7 @@ def error_class(s: Column) -> Column:
 
 def masked_finding(s: Column) -> Column:
     """A validator's message without what it quotes."""
-    return F.regexp_replace(F.regexp_replace(s, "`[^`]*`", "`...`"), "broken link: .*", "broken link")
+    return F.regexp_replace(F.regexp_replace(s, "`[^`]*`", "`...`"), "nothing is at the link's target: .*", "broken link")
 
 
 def directory(path: Column) -> Column:

@@ -140,6 +140,19 @@ def duplicate_candidates(nodes: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"), "reason").distinct()
 
 
+#: What speaks more strongly for one and the same entity.
+REASONS = ("contained", "email")
+
+
+def review_order(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key_a, key_b, reason, rank, occurrences, place: candidates as they are to be reviewed, the strongest reason first,
+    then the most mentioned. ``nodes`` has key, occurrence_count."""
+    count = lambda side: nodes.select(F.col("key").alias(f"key_{side}"), F.col("occurrence_count").alias(f"__{side}"))
+    rank = F.coalesce(*[F.when(F.col("reason") == r, n) for n, r in enumerate(REASONS, 1)], F.lit(0))
+    rows = pairs.join(count("a"), "key_a").join(count("b"), "key_b").select("key_a", "key_b", "reason", rank.alias("rank"), (F.col("__a") + F.col("__b")).alias("occurrences"))
+    return rows.orderBy(F.desc("rank"), F.desc("occurrences"), "key_a", "key_b", "reason")
+
+
 def co_occurrences(edges: DataFrame) -> DataFrame:
     """key_a < key_b, together: in how many concepts two entities stand together (edges concept_id, key)."""
     a, b = edges.select("concept_id", F.col("key").alias("key_a")), edges.select("concept_id", F.col("key").alias("key_b"))

@@ -35,6 +35,20 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ..
     return KeywordIndex(postings, sized, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
 
 
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """concept_id, print: a digest of everything that a concept's chunks are made of (all other columns)."""
+    columns = sorted(c for c in documents.columns if c != "concept_id")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
+    return documents.select("concept_id", F.sha2(F.concat_ws("\u0001", *parts), 256).alias("print"))
+
+
+def changed_concepts(now: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(concept_id of what is new or differs, concept_id of that and of what is gone), by fingerprints."""
+    same = now.join(before, ["concept_id", "print"], "left_semi").select("concept_id")
+    fresh = now.select("concept_id").join(same, "concept_id", "left_anti")
+    return fresh, fresh.unionByName(before.select("concept_id").join(now.select("concept_id"), "concept_id", "left_anti"))
+
+
 def replace_rows(table: DataFrame, changed: DataFrame, fresh: DataFrame, key: str = "concept_id") -> DataFrame:
     """``table`` with the rows of the changed keys replaced by ``fresh``: delete, then insert."""
     return table.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh)

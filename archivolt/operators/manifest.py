@@ -38,6 +38,27 @@ def upsert_stat(old: DataFrame, seen: DataFrame, run_id: str, now: str) -> DataF
     )
 
 
+#: The record of a run: what, when, and what came of it (JSON).
+RUNS = "run_id string, command string, started_at string, finished_at string, stats string"
+
+
+def start_run(runs: DataFrame, run_id: str, command: str, now: str) -> DataFrame:
+    """``runs`` with a run that has begun; one of that id that is there is begun anew."""
+    new = runs.sparkSession.createDataFrame([(run_id, command, now, None, None)], RUNS)
+    return runs.filter(F.col("run_id") != run_id).unionByName(new)
+
+
+def finish_run(runs: DataFrame, run_id: str, now: str, stats: str) -> DataFrame:
+    """``runs`` with the run's end and its statistics."""
+    own = F.col("run_id") == run_id
+    return runs.withColumn("finished_at", F.when(own, F.lit(now)).otherwise(F.col("finished_at"))).withColumn("stats", F.when(own, F.lit(stats)).otherwise(F.col("stats")))
+
+
+def unfinished_runs(runs: DataFrame) -> DataFrame:
+    """The runs that began and did not end, the newest first: what a stage is resumed from."""
+    return runs.filter(F.col("started_at").isNotNull() & F.col("finished_at").isNull()).orderBy(F.desc("started_at"), "run_id")
+
+
 def under(path: Column, root: Column) -> Column:
     """Whether a path is a root or lies below it; a sibling whose name begins alike does not."""
     return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import index_terms, query_terms, snippet
-from ..functions.vectors import cosine
-from ..session import is_small
+from ..session import cut, is_small
 from .index import KeywordIndex
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -68,35 +67,49 @@ def ranked(scores: DataFrame, key: str, most: int = TOP_K, rank: str = "rank") -
     return scores.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= most)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vector: str = "vector", most: int = TOP_K) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vector: str = "vector", most: int = TOP_K, held: int = MOST_HELD, model: str | None = None) -> DataFrame:
     """qid, key, score, rank: the most similar vectors to each query's (qid, qvec), exactly; filter ``vectors`` before.
 
-    A few queries are held as one matrix by every task, which multiplies its
-    batches with it and passes on the best ``most`` of each; many are joined.
-    Vectors of another width, null, zero or with NaN match nothing.
+    The queries are cut into blocks of about ``held``. A block is held as one matrix
+    by every task, which multiplies its batches with it and passes on the best
+    ``most`` of each query. Vectors of another width, null, zero or with NaN match
+    nothing; with ``model``, a column of both sides, so do those of another model.
     """
-    asked = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
-    rows = asked.limit(MOST_HELD + 1).collect()  # bounded, and read once
-    if len(rows) > MOST_HELD:
-        joined = vectors.select(key, F.col(vector).alias("__v")).join(asked, F.size("__v") == F.size("qvec"))
-        scores = joined.select("qid", key, F.round(cosine(F.col("__v"), F.col("qvec")), 6).alias("score"))
-        return ranked(scores.filter(~F.isnan("score") & F.col("score").isNotNull()), key, most)
-    rows = [r for r in rows if r["qvec"]]
-    kinds = {"q": asked.schema["qid"].dataType.simpleString(), "k": vectors.schema[key].dataType.simpleString()}
-    types = [to_arrow_type(asked.schema["qid"].dataType), to_arrow_type(vectors.schema[key].dataType)]
+    columns = ["qid", F.col("qvec").cast("array<double>").alias("qvec")] + ([model] if model else [])
+    asked = queries.select(*columns).filter(F.size("qvec") > 0)
+    count = asked.count()
+    if count > held:
+        blocks = -(-count // held)
+        part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+        asked = cut(asked.withColumn("__part", part))
+        every = [_nearest_block(vectors, asked.filter(F.col("__part") == b).drop("__part").collect(), asked.schema, key, vector, most, model) for b in range(blocks)]
+    else:
+        every = [_nearest_block(vectors, asked.collect(), asked.schema, key, vector, most, model)]
+    found = every[0]
+    for more in every[1:]:
+        found = found.unionByName(more)
+    return ranked(found, key, most)
+
+
+def _nearest_block(vectors: DataFrame, rows: list, schema, key: str, vector: str, most: int, model: str | None) -> DataFrame:
+    """qid, key, score of the best of each partition for the queries ``rows``, which one task may hold."""
+    kinds = {"q": schema["qid"].dataType.simpleString(), "k": vectors.schema[key].dataType.simpleString()}
+    types = [to_arrow_type(schema["qid"].dataType), to_arrow_type(vectors.schema[key].dataType)]
     sides = {}
-    for width in {len(r["qvec"]) for r in rows}:
-        own = [r for r in rows if len(r["qvec"]) == width]
+    of = lambda r: (r[model] if model else None, len(r["qvec"]))
+    for name, width in sorted({of(r) for r in rows}, key=str):
+        own = [r for r in rows if of(r) == (name, width)]
         m = np.array([[np.nan if x is None else x for x in r["qvec"]] for r in own], dtype=np.float64)
         with np.errstate(invalid="ignore", divide="ignore"):
-            sides[width] = ([r["qid"] for r in own], m / np.linalg.norm(m, axis=1)[:, None])
+            sides[name, width] = ([r["qid"] for r in own], m / np.linalg.norm(m, axis=1)[:, None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             widths = np.diff(lists.offsets.to_numpy())
-            for width, (qids, m) in sides.items():
-                take = pa.array(np.flatnonzero(widths == width))
+            models = np.array(batch.column(2).to_pylist(), dtype=object) if model else None
+            for (name, width), (qids, m) in sides.items():
+                take = pa.array(np.flatnonzero((widths == width) & (models == name) if model else widths == width))
                 flat = lists.take(take).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 keys = batch.column(0).take(take).to_pylist()
                 if not keys:
@@ -112,8 +125,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", vecto
                     out[0].extend([qids[i]] * len(best)), out[1].extend(keys[j] for j in best), out[2].extend(float(own[j]) for j in best)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], types[0]), pa.array(out[1], types[1]), pa.array(out[2], pa.float64())], ["qid", key, "score"])
 
-    found = vectors.select(key, F.col(vector).cast("array<double>").alias("__v")).filter(F.col("__v").isNotNull()).mapInArrow(run, f"qid {kinds['q']}, `{key}` {kinds['k']}, score double")
-    return ranked(found, key, most)
+    columns = [key, F.col(vector).cast("array<double>").alias("__v")] + ([model] if model else [])
+    return vectors.select(*columns).filter(F.col("__v").isNotNull()).mapInArrow(run, f"qid {kinds['q']}, `{key}` {kinds['k']}, score double")
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:

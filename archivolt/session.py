@@ -39,12 +39,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` where the
-    session names one, else (tests on one machine) a temporary folder."""
+    session names one; else a temporary folder in local mode, where all tasks
+    share one machine, and an error on a cluster."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "archivolt-checkpoints")
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "archivolt-checkpoints")
     context.setCheckpointDir(folder)
     return folder
 

@@ -19,20 +19,20 @@ def card_errors(raw: Column) -> Column:
     """array<string>: what is wrong with the JSON text of a card, the gravest first; empty if nothing is."""
     card = F.from_json(raw, SCHEMA)
     unknown = F.array_sort(F.array_except(F.json_object_keys(raw), F.array(*[F.lit(c) for c in SCALARS + LISTS])))
-    errors = [F.when(F.octet_length(raw) > MOST_BYTES, "card is too large"), F.when(F.json_object_keys(raw).isNull(), "card must be a JSON object"), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown card fields: "), F.array_join(unknown, ", ")))]
+    errors = [F.when(F.octet_length(raw) > MOST_BYTES, "more bytes than a card may have"), F.when(F.json_object_keys(raw).isNull(), "no JSON object"), F.when(F.size(unknown) > 0, F.concat(F.lit("fields that no card has: "), F.array_join(unknown, ", ")))]
     for c in SCALARS:
-        errors.append(F.when(F.trim(F.coalesce(card[c], F.lit(""))) == "", f"{c} must be a non-empty string"))
+        errors.append(F.when(F.trim(F.coalesce(card[c], F.lit(""))) == "", f"{c} is missing or blank"))
     for c in ("id", "project"):
         value = F.trim(card[c])
-        errors.append(F.when((value != "") & (~value.rlike(_SLUG) | (F.length(value) > 120)), f"{c} must be a lowercase slug of 1 to 120 letters, numbers, or hyphens"))
+        errors.append(F.when((value != "") & (~value.rlike(_SLUG) | (F.length(value) > 120)), f"{c} is no slug (small letters, digits and single hyphens, at most 120)"))
     at = F.trim(card["occurred_at"])
     aware = at.rlike(r"(Z|[+-]\d\d:?\d\d)$") & F.try_to_timestamp(at).isNotNull()
-    errors.append(F.when((at != "") & ~F.coalesce(aware, F.lit(False)), "occurred_at must be a timezone-aware ISO 8601 timestamp"))
-    errors.append(F.when((F.trim(card["status"]) != "") & ~F.trim(card["status"]).isin(*STATUSES), "status must be completed, paused, or blocked"))
+    errors.append(F.when((at != "") & ~F.coalesce(aware, F.lit(False)), "occurred_at is no ISO 8601 instant with a zone"))
+    errors.append(F.when((F.trim(card["status"]) != "") & ~F.trim(card["status"]).isin(*STATUSES), "status is none of completed, paused and blocked"))
     for c in LISTS:
         members = F.transform(card[c], lambda m: F.trim(F.coalesce(m, F.lit(""))))
-        errors.append(F.when(F.exists(members, lambda m: m == ""), f"{c} members must be non-empty strings"))
-        errors.append(F.when(F.size(F.array_distinct(members)) < F.size(members), f"{c} contains a duplicate member"))
+        errors.append(F.when(F.exists(members, lambda m: m == ""), f"{c} has a blank member"))
+        errors.append(F.when(F.size(F.array_distinct(members)) < F.size(members), f"{c} names a member twice"))
     return F.array_compact(F.array(*errors))
 
 

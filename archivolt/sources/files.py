@@ -116,6 +116,54 @@ def scan(spark: SparkSession, roots: list[str], deny: Sequence[str] = DENY, most
     return rows.withColumn("scan_status", F.coalesce("problem", outcome)).drop("head", "problem")
 
 
+def _hash_blocks(batches):
+    """path, size -> path, hash: SHA-256 by blocks of 1 MiB; null where a file cannot be read."""
+    import hashlib
+
+    import pandas as pd
+
+    for batch in batches:
+        out = []
+        for path in batch["path"]:
+            digest = hashlib.sha256()
+            try:
+                with open(path, "rb") as fh:
+                    while block := fh.read(1 << 20):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            except OSError:
+                out.append(None)
+        yield pd.DataFrame({"path": batch["path"], "hash": out})
+
+
+def _spread(paths: DataFrame, parts: int | None) -> DataFrame:
+    """``paths`` over the tasks by a hash of the path, as large and small files come in any order."""
+    return paths.repartition(parts, F.xxhash64("path")) if parts else paths.repartition(F.xxhash64("path"))
+
+
+def hash_files(paths: DataFrame, parts: int | None = None) -> DataFrame:
+    """path, hash of the files that ``paths`` names, and of no others."""
+    return _spread(paths.select("path"), parts).mapInPandas(_hash_blocks, "path string, hash string")
+
+
+def _contents(batches):
+    import pandas as pd
+
+    for batch in batches:
+        for path in batch["path"]:  # one file at a time
+            try:
+                with open(path, "rb") as fh:
+                    content = fh.read()
+            except OSError:
+                content = None
+            yield pd.DataFrame({"path": [path], "content": pd.Series([content], dtype=object)})
+
+
+def read_files(paths: DataFrame, parts: int | None = None) -> DataFrame:
+    """path, content of the files that ``paths`` names, and of no others; null where a file cannot be read."""
+    return _spread(paths.select("path"), parts).mapInPandas(_contents, "path string, content binary")
+
+
 def content_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, hash (SHA-256) of files or folders of files, read by Spark."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)

@@ -6,13 +6,15 @@ no notion of late data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.globs import denied_by
+
 
 def last_events(events: DataFrame, key: str = "path", at: str = "ts", what: str = "event", tie: str = "event_id") -> DataFrame:
     """key, event, ts: the last event of each key; of equal instants the one of the greatest ``tie``."""
@@ -91,17 +93,42 @@ def change_outcomes(changes: DataFrame, census: DataFrame, known_hashes: DataFra
     return rows.select("path", outcome.alias("outcome"))
 
 
-def watch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, most_paths: int = 5000, seconds: float | None = 1.0):
-    """Start the change job: each micro-batch's settled paths, at most ``most_paths`` (the others are counted by
-    :func:`dropped`), go to ``handle(rows, batch)``. With ``seconds`` None what is there is processed once."""
+class Watched:
+    """What a change job has done: batches, paths handed on, paths kept out by the deny list, and batches that failed with their errors."""
+
+    def __init__(self) -> None:
+        self.batches = self.paths = self.denied = 0
+        self.failed: list[tuple[int, str]] = []
+
+
+def watch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, most_paths: int = 5000, seconds: float | None = 1.0, deny: Sequence[str] = (), watched: Watched | None = None):
+    """Start the change job: each micro-batch's settled paths that no glob of ``deny`` keeps out go to ``handle(rows,
+    part)``, the oldest first, in parts of about ``most_paths`` at a time; none is dropped. A part that fails is
+    recorded in ``watched`` and does not stop the job. With ``seconds`` None what is there is processed once."""
+    watched = watched or Watched()
 
     def each(rows: DataFrame, batch: int) -> None:
-        handle(rows.orderBy("last", "path").limit(most_paths), batch)
+        rows = rows.persist()
+        try:
+            kept = rows.filter(denied_by(F.col("path"), deny).isNull()) if deny else rows
+            count, all_ = kept.count(), rows.count()
+            watched.batches += 1
+            watched.denied += all_ - count
+            parts = max(1, -(-count // most_paths))
+            # parts by time: the bounds are a few quantiles of the paths' last events
+            bounds = kept.select(F.unix_micros("last").alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+            at = F.unix_micros("last").cast("double")
+            edges = [None, *sorted(set(bounds)), None]
+            for low, high in zip(edges[:-1], edges[1:]):
+                part = kept if low is None else kept.filter(at > low)
+                part = part if high is None else part.filter(at <= high)
+                try:
+                    handle(part.orderBy("last", "path"), batch)
+                    watched.paths += part.count()
+                except Exception as e:  # one bad part must not stop the watch
+                    watched.failed.append((batch, repr(e)))
+        finally:
+            rows.unpersist()
 
     writer = debounced(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
-
-
-def dropped(rows: int, most_paths: int = 5000) -> int:
-    """How many paths of a batch the cap turns away."""
-    return max(0, rows - most_paths)

@@ -13,11 +13,11 @@ def concept(h, cid, kind, tags, entities, at):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    acme, bob = ("Acme Corp", "organization"), ("Bob Smith", "person")
-    rows = [concept("aa11", "runbook/restart", "Runbook", ["ops", "widget"], [acme, bob], "2026-08-01T00:00:00Z"), concept("bb22", "runbook/rotate", "Runbook", ["ops"], [("ACME CORP", "organization")], "2026-08-02T00:00:00Z"), concept("cc33", "report/market", "Report", ["research"], [bob, ("Acme Corp", "project"), ("app.py", "system")], "2026-07-15T00:00:00Z")]
+    works, ada = ("Nordlicht Works", "organization"), ("Ada Quill", "person")
+    rows = [concept("1f1f", "guide/reseal", "Guide", ["ops", "valve"], [works, ada], "2026-08-01T00:00:00Z"), concept("2e2e", "guide/settle", "Guide", ["ops"], [("NORDLICHT WORKS", "organization")], "2026-08-02T00:00:00Z"), concept("3d3d", "survey/harvest", "Report", ["crops"], [ada, ("Nordlicht Works", "project"), ("tool.py", "system")], "2026-07-15T00:00:00Z")]
     concepts = spark.createDataFrame(rows + rows[:1], CONCEPTS)
-    links = spark.createDataFrame([("runbook/restart", "/runbook/rotate.md"), ("runbook/restart", "./rotate.md"), ("runbook/restart", "/runbook/missing.md")], "from_id string, target string")
-    files = spark.createDataFrame([("/a/restart.md", "aa11", ".md", 100, 1.0), ("/a/rotate.md", "bb22", ".md", 200, 2.0), ("/a/market.pdf", "cc33", ".pdf", 300, 3.0)], "path string, hash string, ext string, size bigint, mtime double")
+    links = spark.createDataFrame([("guide/reseal", "/guide/settle.md"), ("guide/reseal", "./settle.md"), ("guide/reseal", "/guide/nowhere.md")], "from_id string, target string")
+    files = spark.createDataFrame([("/a/reseal.md", "1f1f", ".md", 100, 1.0), ("/a/settle.md", "2e2e", ".md", 200, 2.0), ("/a/harvest.pdf", "3d3d", ".pdf", 300, 3.0)], "path string, hash string, ext string, size bigint, mtime double")
     return concepts, links, files
 
 
@@ -25,14 +25,14 @@ def test_counts(tables):
     concepts, links, files = tables
     counts = [graph.concept_nodes(concepts), graph.file_nodes(files, concepts), graph.entity_nodes(concepts), graph.tag_nodes(concepts), graph.link_edges(links, concepts), graph.derived_edges(files, concepts), graph.mention_edges(concepts), graph.tag_edges(concepts), graph.broken_links(links, concepts)]
     assert [c.count() for c in counts] == [3, 3, 3, 3, 1, 3, 5, 4, 1]
-    bob = graph.entity_nodes(concepts).filter("key = 'person:bob smith'").select("occurrence_count", F.date_format("first_seen", "yyyy-MM-dd")).first()
-    assert tuple(bob) == (2, "2026-07-15")
+    ada = graph.entity_nodes(concepts).filter("key = 'person:ada quill'").select("occurrence_count", F.date_format("first_seen", "yyyy-MM-dd")).first()
+    assert tuple(ada) == (2, "2026-07-15")
 
 
 def test_hops_and_parents(spark, tables):
     concepts, links, _ = tables
-    seeds = spark.createDataFrame([(1, "runbook/rotate")], "qid int, concept_id string")
-    assert [r["concept_id"] for r in graph.neighbours(graph.link_edges(links, concepts), seeds).collect()] == ["runbook/restart"]
+    seeds = spark.createDataFrame([(1, "guide/settle")], "qid int, concept_id string")
+    assert [r["concept_id"] for r in graph.neighbours(graph.link_edges(links, concepts), seeds).collect()] == ["guide/reseal"]
     ids = spark.createDataFrame([("a",), ("a/b",), ("a/b/c/d",), ("x/y",)], "concept_id string")
     assert sorted(map(tuple, graph.child_edges(ids).collect())) == [("a/b", "a"), ("a/b/c/d", "a/b")]
 
@@ -56,9 +56,9 @@ def compiled(tables):
     "text, rows",
     [
         ("MATCH (n) RETURN count(n)", [(9,)]),
-        ("MATCH (c:Concept)-[:MENTIONS]->(e:Entity {kind: 'person'}) RETURN e.name AS who, count(DISTINCT c) AS n ORDER BY n DESC LIMIT 5", [("Bob Smith", 2)]),
-        ("MATCH (a)-[:MENTIONS]->(e)<-[:MENTIONS]-(b) WHERE e.kind = 'organization' AND a.concept_id < b.concept_id RETURN a.concept_id AS x, b.concept_id AS y", [("runbook/restart", "runbook/rotate")]),
-        ("MATCH (a:Concept)-[:LINKS_TO]-(b) WHERE a.concept_id IN ['runbook/rotate'] RETURN DISTINCT b.concept_id AS id", [("runbook/restart",)]),
+        ("MATCH (c:Concept)-[:MENTIONS]->(e:Entity {kind: 'person'}) RETURN e.name AS who, count(DISTINCT c) AS n ORDER BY n DESC LIMIT 5", [("Ada Quill", 2)]),
+        ("MATCH (a)-[:MENTIONS]->(e)<-[:MENTIONS]-(b) WHERE e.kind = 'organization' AND a.concept_id < b.concept_id RETURN a.concept_id AS x, b.concept_id AS y", [("guide/reseal", "guide/settle")]),
+        ("MATCH (a:Concept)-[:LINKS_TO]-(b) WHERE a.concept_id IN ['guide/settle'] RETURN DISTINCT b.concept_id AS id", [("guide/reseal",)]),
         ("MATCH (c:Concept)-[r:TAGGED_AS]->(t:Tag) RETURN count(r) AS n", [(4,)]),
         ("MATCH (a:Concept {concept_id: 'it''s'}) RETURN a", []),
     ],
@@ -73,12 +73,12 @@ def test_cypher_refuses(compiled, text):
         cypher.run(compiled, text).collect()
 
 
-CHUNKS = [("runbook/restart#0", "runbook/restart", "work", "Restart", "", 0, "Stop the widget service, wait thirty seconds, start it."), ("runbook/invoice#0", "runbook/invoice", "personal", "Invoice", None, 0, "Quarterly revenue reached four million dollars in total.")]
+CHUNKS = [("guide/reseal#0", "guide/reseal", "work", "Restart", "", 0, "Stop the widget service, wait thirty seconds, start it."), ("runbook/invoice#0", "runbook/invoice", "personal", "Invoice", None, 0, "Quarterly revenue reached four million dollars in total.")]
 
 
 @pytest.fixture(scope="module")
 def chunks(spark):
-    return spark.createDataFrame(CHUNKS, "chunk_id string, concept_id string, sensitivity string, title string, heading_path string, chunk_index int, text string").withColumn("source", F.lit("local")).withColumn("concept_type", F.lit("Runbook"))
+    return spark.createDataFrame(CHUNKS, "chunk_id string, concept_id string, sensitivity string, title string, heading_path string, chunk_index int, text string").withColumn("source", F.lit("local")).withColumn("concept_type", F.lit("Guide"))
 
 
 def letters(text):
@@ -93,11 +93,11 @@ def test_search(spark, chunks):
     queries = spark.createDataFrame([(1, "widget service", letters("widget service")), (2, '")(*', letters("x")), (3, "", None)], "qid int, q string, qvec array<double>")
     built = index.build_index(chunks)
     top = {r["qid"]: r["concept_id"] for r in retrieval.search(chunks, built, queries, vectors).filter("place = 1").collect()}
-    assert top[1] == "runbook/restart" and 3 not in top
+    assert top[1] == "guide/reseal" and 3 not in top
     only = retrieval.search(chunks, built, queries, vectors, sensitivity="personal").collect()
     assert {r["concept_id"] for r in only} == {"runbook/invoice"}
     words = retrieval.search(chunks, built, queries, reranker=retrieval.lexical_overlap).collect()
-    assert [(r["qid"], r["chunk_id"]) for r in words] == [(1, "runbook/restart#0")] and words[0]["score"] == 0.5
+    assert [(r["qid"], r["chunk_id"]) for r in words] == [(1, "guide/reseal#0")] and words[0]["score"] == 0.5
     assert retrieval.search(chunks.limit(0), index.build_index(chunks.limit(0)), queries).count() == 0
 
 

@@ -48,9 +48,9 @@ def test_related_links_are_symmetric(spark):
 def test_validator(spark):
     docs = [("a/x.md", "---\ntype: Report\ntitle: X\ndescription: d\n---\n[y](/a/y.md) [z](/a/gone.md)"), ("a/y.md", "---\ntype: \"\"\n---\nbody"), ("a/z.md", "no frontmatter"), ("a/w.md", "---\ntype: T\n---\n"), ("index.md", "---\nokf_version: \"1\"\n---\n"), ("a/index.md", "---\nq: 1\n---\n"), ("log.md", "## 2024-01-01\n## 2024-02-01\n## bad\n")]
     got = {(r["level"], r["path"], r["message"]) for r in bundle.validate(spark.createDataFrame(docs, "path string, text string")).collect()}
-    assert ("error", "a/z.md", "no parseable frontmatter block") in got and ("error", "a/y.md", "frontmatter has no non-empty `type` field") in got
-    assert ("error", "a/index.md", "a sub-index must carry no frontmatter") in got and ("warning", "log.md", "log is not newest first") in got
-    assert ("warning", "a/x.md", "broken link: /a/gone.md") in got and ("error", "log.md", "bad log heading `## bad`") in got
+    assert ("error", "a/z.md", "the frontmatter cannot be read") in got and ("error", "a/y.md", "the frontmatter names no `type`") in got
+    assert ("error", "a/index.md", "only the root index may have frontmatter") in got and ("warning", "log.md", "the log's days are out of order") in got
+    assert ("warning", "a/x.md", "nothing is at the link's target: /a/gone.md") in got and ("error", "log.md", "no date in the log heading `## bad`") in got
     assert not any(p == "index.md" for _, p, _ in got)
 
 

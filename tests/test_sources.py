@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.config import Config, Scan, load
+from archivolt.config import Config, Scan, load, load_aliases, load_questions
 from archivolt.engine import Engine
 from archivolt.operators import enrich
 from archivolt.sources import cards, extract, meetings
@@ -39,10 +39,84 @@ def test_pipeline_end_to_end(spark, tree, tmp_path_factory):
     assert "error" in engine.get_concept("../../etc/passwd")
     assert engine.cypher("MATCH (c:Concept) RETURN count(c) AS n").first()[0] == 5
     assert "error" in engine.traverse("x", edge_types=("NOPE",))
+    assert [n.name for n in fields_of(engine)] == ["CHILD_OF", "DERIVED_FROM", "LINKS_TO", "MENTIONS", "TAGGED_AS"]
+    assert engine.cypher("MATCH (c:Concept)-[:DERIVED_FROM]->(f:File) RETURN count(f) AS n").first()[0] == 5
+    before = {r["chunk_id"]: r["text"] for r in engine.read("chunks").collect()}
     (tree / "notes/note2.md").unlink()
-    engine.drain("r2")
+    (tree / "notes/note4.md").write_text("# Widget note 4\n\nThe harbour crane is greased by Bob Smith on Fridays.\n")
+    stats = engine.drain("r2")
     assert engine.read("files").filter("scan_status = 'missing'").count() == 1
     assert engine.read("concepts").filter("status = 'deprecated'").count() == 1
+    # only what changed was split again, and the index is that of a whole rebuild
+    assert stats["changed"] == 1 and stats["enriched"] == 1 and stats["waiting"] == 0
+    parts = {n: sorted(map(str, engine.read(n).collect())) for n in ("chunks", "postings", "lengths", "stats")}
+    engine.index(whole=True)
+    assert parts == {n: sorted(map(str, engine.read(n).select(*columns(parts[n])).collect())) for n in parts}
+    after = {r["chunk_id"]: r["text"] for r in engine.read("chunks").collect()}
+    assert any("crane" in t for t in after.values()) and sum(k in before and before[k] == t for k, t in after.items()) >= 4
+    runs = {r["run_id"]: r for r in engine.read("runs").collect()}
+    assert {"r1", "r2", "r2-scan"} <= set(runs) and all(r["finished_at"] for r in runs.values()) and '"enriched": 1' in runs["r2"]["stats"]
+
+
+def fields_of(engine):
+    from types import SimpleNamespace
+
+    return [SimpleNamespace(name=n) for n in sorted(engine.graph_tables().edges)]
+
+
+def columns(rows):
+    import re
+
+    return re.findall(r"(\w+)=", re.sub(r"='(?:[^'\\\\]|\\\\.)*'", "=", rows[0])) if rows else ["*"]
+
+
+def test_only_what_has_no_hash_is_read(spark, tree, tmp_path_factory):
+    engine = Engine(spark, Config(warehouse=str(tmp_path_factory.mktemp("w")), scan=Scan(roots=(str(tree),))))
+    engine.scan("r1")
+    hashes = {r["path"]: r["hash"] for r in engine.read("files").collect()}
+    kept = tree / "latin.txt"
+    stat = kept.stat()
+    kept.write_bytes(bytes(stat.st_size))  # other bytes, but size, time and inode tell nothing
+    import os
+
+    os.utime(kept, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    (tree / "new.md").write_text("something new here")
+    engine.scan("r2")
+    again = {r["path"]: r["hash"] for r in engine.read("files").collect()}
+    assert again[str(kept)] == hashes[str(kept)] and again[str(tree / "new.md")] and {k: again[k] for k in hashes} == hashes
+
+
+def test_a_version_counts_once_it_is_complete(spark, tmp_path):
+    engine = Engine(spark, Config(warehouse=str(tmp_path)))
+    assert not engine.has("t")
+    with pytest.raises(FileNotFoundError):
+        engine.read("t")
+    for n in (1, 2, 3):
+        engine.write(spark.range(n), "t")
+    assert engine.read("t").count() == 3
+    (tmp_path / "t/v00000009").mkdir()  # a write that was cut short
+    assert engine.read("t").count() == 3
+    engine.write(engine.read("t").union(spark.range(1)), "t")
+    assert engine.read("t").count() == 4 and len(engine._versions("t")) == 2
+
+
+def test_an_unfinished_run_is_seen(spark, tmp_path):
+    engine = Engine(spark, Config(warehouse=str(tmp_path)))
+    with pytest.raises(RuntimeError), engine.run("extract", "x"):
+        raise RuntimeError("executor lost")
+    from archivolt.operators.manifest import unfinished_runs
+
+    assert [r["run_id"] for r in unfinished_runs(engine.read("runs")).collect()] == ["x"]
+
+
+def test_questions_and_aliases(tmp_path):
+    (tmp_path / "q.toml").write_text('[[question]]\nid = "a"\ntext = " who? "\nexpect = ["x/y"]\n[[question]]\ntext = "unknown?"\n')
+    assert load_questions(tmp_path / "q.toml") == [("a", "who?", ["x/y"]), ("2", "unknown?", [])]
+    (tmp_path / "a.toml").write_text('[person]\n"Ada Quill" = ["A.  Quill", "ada"]\n')
+    assert load_aliases(tmp_path / "a.toml") == [("person:a. quill", "person:ada quill"), ("person:ada", "person:ada quill")]
+    (tmp_path / "b.toml").write_text('[person]\n"Ada" = ["x"]\n"Bea" = ["x"]\n')
+    with pytest.raises(ValueError):
+        load_aliases(tmp_path / "b.toml")
 
 
 @pytest.mark.parametrize("raw, status", [(b"", "empty"), (b"  \n", "empty"), (b"a\r\nb", "ok"), (b"\0\0", "failed"), ("hé".encode("utf-16"), "ok"), (b"\xff\xfe\xfd caf\xe9", "ok")])
@@ -61,7 +135,7 @@ def test_errors_stay_with_their_file():
 GOOD = {"id": "a-1", "project": "p", "occurred_at": "2026-01-02T03:04:05+02:00", "tool": "t", "source_ref": "s", "status": "paused", "summary": "x", "decisions": ["d"]}
 
 
-@pytest.mark.parametrize("change, error", [({}, None), ({"id": "A b"}, "slug"), ({"occurred_at": "2026-01-02T03:04:05"}, "timezone"), ({"status": "done"}, "status"), ({"extra": 1}, "unknown card fields: extra"), ({"summary": " "}, "summary must"), ({"decisions": ["d", "d "]}, "duplicate"), ({"decisions": [""]}, "non-empty")])
+@pytest.mark.parametrize("change, error", [({}, None), ({"id": "A b"}, "slug"), ({"occurred_at": "2026-01-02T03:04:05"}, "zone"), ({"status": "done"}, "status"), ({"extra": 1}, "fields that no card has: extra"), ({"summary": " "}, "summary is missing"), ({"decisions": ["d", "d "]}, "twice"), ({"decisions": [""]}, "blank")])
 def test_cards(spark, change, error):
     rows = spark.createDataFrame([(json.dumps(GOOD | change),)], "value string")
     errors = rows.select(cards.card_errors(F.col("value"))).first()[0]

@@ -37,4 +37,24 @@ def test_last_events_moves_and_outcomes(spark):
     census = spark.createDataFrame([("/s", 1, 1.0)], "path string, size bigint, mtime double")
     got = {r["path"]: r["outcome"] for r in changes.change_outcomes(seen, census, spark.createDataFrame([("h",), ("h",), (None,)], "hash string")).collect()}
     assert got == {"/d": "deleted", "/i": "ignored", "/l": "too_large", "/s": "unchanged", "/u": "unreadable", "/k": "known_hash", "/n": "extract"}
-    assert changes.dropped(7, 5) == 2 and spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_full_batch_is_handed_on_in_parts(spark, tmp_path):
+    """More paths than one part holds: none is dropped, denied ones are counted, and a part that fails is recorded."""
+    source = tmp_path / "in"
+    rows = spark.createDataFrame([(f"/p{i:02}" + (".log" if i % 10 == 0 else ""), i, "modified") for i in range(40)], "path string, s int, event string")
+    rows.select("path", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), "event").coalesce(1).write.parquet(str(source))
+    late = spark.createDataFrame([("/late", 5000, "modified")], "path string, s int, event string").select("path", F.timestamp_seconds("s").alias("ts"), "event")
+    stream = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    late.coalesce(1).write.mode("append").parquet(str(source))
+    got, watched = [], changes.Watched()
+
+    def handle(part, batch):
+        paths = [r["path"] for r in part.collect()]
+        if "/p05" in paths:
+            raise RuntimeError("bad")
+        got.extend(paths)
+
+    changes.watch(stream, handle, str(tmp_path / "check"), most_paths=8, seconds=None, deny=("*.log",), watched=watched).awaitTermination(120)
+    assert watched.denied == 4 and len(watched.failed) == 1 and "/p05" not in got
+    assert len(got) == len(set(got)) == watched.paths and 20 <= len(got) <= 35 and not any(p.endswith(".log") for p in got)
