@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, word_count
+from ..session import cut
 
 
 def concept_ranks(hits: DataFrame) -> DataFrame:
@@ -63,6 +68,61 @@ def probe_ranks(scores: DataFrame) -> DataFrame:
     return scores.join(own, "qid").groupBy("qid").agg((F.sum((F.col("score") > F.col("own")).cast("long")) + 1).alias("rank"))
 
 
+def target_ranks(vectors: DataFrame, probes: DataFrame, key: str, vector: str, held: int = 2_000) -> DataFrame:
+    """qid, rank of each probe's target among all vectors but the probe's own: one more than the number of better ones.
+    ``probes`` has qid (a value of ``key``), qvec and target. The probes are compared in blocks of about ``held``: each
+    task multiplies its vectors with a block and counts, so that no pair leaves it."""
+    own = probes.join(vectors.select(F.col(key).alias("target"), F.col(vector).alias("__t")), "target")
+    count = own.count()
+    blocks = max(1, -(-count // held))
+    own = cut(own.select("qid", F.col("qvec").cast("array<double>").alias("q"), F.col("__t").cast("array<double>").alias("t"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")))
+    kind = own.schema["qid"].dataType.simpleString()
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    parts = []
+    for b in range(blocks):
+        rows = own.filter(F.col("block") == b).collect()  # about ``held``
+        if not rows:
+            continue
+        qids, q, t = [r["qid"] for r in rows], unit(np.array([r["q"] for r in rows])), unit(np.array([r["t"] for r in rows]))
+        goal = np.round((q * t).sum(axis=1), 6)
+
+        def better(batches, qids=qids, q=q, goal=goal):
+            for batch in batches:
+                x = unit(np.array(batch.iloc[:, 1].tolist(), dtype=np.float64).reshape(len(batch), -1)) if len(batch) else np.zeros((0, q.shape[1]))
+                over = (np.round(q @ x.T, 6) > goal[:, None]) & (np.array(qids, dtype=object)[:, None] != batch.iloc[:, 0].to_numpy(dtype=object)[None, :])
+                yield pd.DataFrame({"qid": qids, "n": over.sum(axis=1)})
+
+        parts.append(vectors.select(key, F.col(vector).cast("array<double>")).mapInPandas(better, f"qid {kind}, n long"))
+    if not parts:
+        return probes.select("qid", F.lit(0).cast("long").alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy("qid").agg((F.sum("n") + 1).alias("rank"))
+
+
+def collect_chunks(chunks: DataFrame, count: int, words: tuple[int, int] = (200, 20_000), least: int = 40, seed: str = "11") -> DataFrame:
+    """chunk_id, text: ``count`` chunks of ``least`` words or more, of documents whose word count lies in ``words``, in hash order."""
+    sized = chunks.select("chunk_id", "concept_id", "text", word_count(F.col("text")).alias("n"))
+    whole = sized.groupBy("concept_id").agg(F.sum("n").alias("total")).filter(F.col("total").between(*words))
+    rows = sized.filter(F.col("n") >= least).join(whole, "concept_id", "left_semi")
+    return rows.orderBy(F.md5(F.concat("chunk_id", F.lit(seed))), "chunk_id").limit(count).select("chunk_id", "text")
+
+
+def sampled_by_type(records: DataFrame, count: int, kind: str = "concept_type", order: str = "concept_id") -> DataFrame:
+    """The records of a round-robin over the types, of each the middle one of those left, ``count`` in all; with place.
+
+    Taking the middle element of a sorted list again and again visits the places next to the middle in turn, the left
+    one first where two are left: the visit of a place is told by its distance from the middle.
+    """
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(order)) - 1
+    size = F.count(F.lit(1)).over(Window.partitionBy(kind))
+    rows = records.withColumn("__at", place).withColumn("__mid", F.floor(size / 2))
+    left = F.col("__at") < F.col("__mid")
+    even = F.pmod(size, F.lit(2)) == 0
+    # an even list is left with its middle on the left side, an odd one on the right
+    visit = F.when(F.col("__at") == F.col("__mid"), 0).when(left, F.when(even, 2 * (F.col("__mid") - F.col("__at")) - 1).otherwise(2 * (F.col("__mid") - F.col("__at")))).otherwise(F.when(even, 2 * (F.col("__at") - F.col("__mid"))).otherwise(2 * (F.col("__at") - F.col("__mid")) - 1))
+    rows = rows.withColumn("turn", visit)
+    return rows.orderBy("turn", kind).limit(count).drop("__at", "__mid")
+
+
 def recall(ranks: DataFrame) -> DataFrame:
     """recall at 1, 5 and 10, and mean reciprocal rank; one row."""
     return ranks.agg(*[F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"recall_{k}") for k in (1, 5, 10)], F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))

@@ -188,12 +188,16 @@ def bnd2_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(LIVE)
     + r""", n AS (SELECT source_hash, regexp_replace(regexp_replace(lower(concept_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '/' || regexp_replace(regexp_replace(lower(split_part(title, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS want FROM l),
 t AS (SELECT source_hash, want, unnest([want, want || '-' || left(source_hash, 6), want || '-' || left(source_hash, 10), want || '-' || left(source_hash, 16), want || '-' || source_hash]) AS name, unnest([0, 1, 2, 3, 4]) AS n FROM n),
-f AS (SELECT name, min(source_hash) AS source_hash, count(*) AS wanted FROM t GROUP BY 1), v AS (SELECT t.source_hash, t.name, t.n FROM t JOIN f ON t.name = f.name AND t.source_hash = f.source_hash WHERE t.n = 0 OR f.wanted = 1 OR t.n = 4)
+t2 AS (SELECT * FROM t WHERE name NOT IN (SELECT want FROM n JOIN l USING (source_hash) WHERE concept_type = 'Runbook')),
+f AS (SELECT name, min(source_hash) AS source_hash, count(*) AS wanted FROM t2 GROUP BY 1), v AS (SELECT t.source_hash, t.name, t.n FROM t2 t JOIN f ON t.name = f.name AND t.source_hash = f.source_hash WHERE t.n = 0 OR f.wanted = 1 OR t.n = 4)
 SELECT source_hash, arg_min(name, n) AS concept_id FROM v GROUP BY 1"""
 )
 def f3_allocate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = _live(spark, sf_dir).select("source_hash", "concept_type", F.split("title", " ")[0].alias("title"))
-    return bundle.allocate_ids(new, new.select(F.lit("").alias("concept_id")).limit(0))
+    # the ids that runbooks would get are taken, so that these and all that want the same get a suffix
+    slug = lambda c: tx.slugify(F.col(c))
+    taken = new.filter("concept_type = 'Runbook'").select(F.concat(slug("concept_type"), F.lit("/"), slug("title")).alias("concept_id"))
+    return bundle.allocate_ids(new, taken)
 
 
 @query(
@@ -211,10 +215,12 @@ def snk6_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.log_text(runs.select(F.date_format(F.try_to_timestamp("started_at"), "yyyy-MM-dd").alias("day"), F.col("run_id").alias("seq"), F.concat_ws(" ", "command", "run_id").alias("line")))
 
 
-@query(with_(RECORDS) + ", o AS (SELECT DISTINCT from_id AS id FROM links_to UNION SELECT concept_id FROM c WHERE concept_id IS NOT NULL) SELECT id AS concept_id FROM o WHERE id NOT IN (SELECT concept_id FROM c WHERE concept_id IS NOT NULL)")
+@query(with_(RECORDS) + ", i AS (SELECT concept_id FROM c WHERE concept_id IS NOT NULL), o AS (SELECT concept_id AS id FROM i UNION SELECT concept_id || '-draft' FROM i UNION SELECT regexp_extract(concept_id, '^(.*)/[^/]*$', 1) || '/index' FROM i) SELECT id AS concept_id FROM o WHERE id NOT IN (SELECT concept_id FROM i) AND NOT ends_with(id, '/index')")
 def set7_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On disk are the concepts' documents, a draft of each, and the directories' indexes: the drafts are orphans."""
     c = catalogue.concept_records(_concepts(spark, sf_dir)).filter("concept_id IS NOT NULL")
-    on_disk = read_table(spark, sf_dir, "links_to").select(F.col("from_id").alias("concept_id")).union(c.select("concept_id"))
+    ids = F.array("concept_id", F.concat("concept_id", F.lit("-draft")), F.concat(tx.directory(F.col("concept_id")), F.lit("/index")))
+    on_disk = c.select(F.explode(ids).alias("concept_id"))
     return bundle.orphan_files(on_disk, c.filter("coalesce(status, 'stable') <> 'deprecated'"), c.filter("status = 'deprecated'"))
 
 
@@ -252,14 +258,14 @@ def snk4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.documents(live, paths, bundle.related(live))
 
 
-@query()
+@query(with_(LIVE) + "SELECT 'warning' AS level, concept_id || '.md' AS path, 'it should have `' || key || '`' AS message FROM (SELECT concept_id, unnest(['title', 'description']) AS key, unnest([title, description]) AS value FROM l WHERE coalesce(concept_type, '') <> '') WHERE trim(coalesce(value, '')) = '' UNION ALL SELECT 'error', concept_id || '.md', 'the frontmatter names no `type`' FROM l WHERE coalesce(concept_type, '') = ''")
 def val1_validate_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.bundles import rendered
 
     return bundle.validate(rendered(snk4_documents(spark, sf_dir), _live(spark, sf_dir)))
 
 
-@query()
+@query(with_(LIVE) + "SELECT 'warning' AS level, 'it should have `...`' AS finding, count(*) AS n, min(concept_id || '.md') AS example FROM (SELECT concept_id, unnest([title, description]) AS value FROM l WHERE coalesce(concept_type, '') <> '') WHERE trim(coalesce(value, '')) = '' HAVING count(*) > 0")
 def agg21_finding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = val1_validate_bundle(spark, sf_dir)
     return rows.groupBy("level", tx.masked_finding(F.col("message")).alias("finding")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("example"))

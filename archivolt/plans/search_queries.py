@@ -6,7 +6,7 @@ runbook's first usable chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, evaluation, graph, index, retrieval
@@ -144,11 +144,15 @@ def prj13_found_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("qid", "chunk_id", F.array_join(labels, " ").alias("found_by"))
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+'), lambda w: w <> ''))"
+_RR = f"rr AS (SELECT qid, chunk_id, rrf, CAST(len(list_intersect({_WORDS.format('q')}, {_WORDS.format('left(text, 700)')})) AS DOUBLE) / len({_WORDS.format('q')}) AS rerank FROM cu JOIN k USING (chunk_id) JOIN q USING (qid)), re AS (SELECT qid, chunk_id, rerank, round(CASE WHEN rerank <> 0 THEN rerank ELSE rrf END, 6) AS score FROM rr)"
+
+
+@query(with_(*_ALL, _CU, _RR) + "SELECT qid, chunk_id, round(rerank, 6) AS rerank, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS place FROM re QUALIFY place <= 15")
 def rt5_reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    hits = retrieval.search(chunks, index.build_index(chunks), _questions(spark, sf_dir), reranker=retrieval.lexical_overlap)
-    return hits.select("qid", "chunk_id", "rerank", "score", "place")
+    hits = retrieval.search(chunks, index.build_index(chunks), _asked(spark, sf_dir), _vectors(spark, sf_dir), reranker=retrieval.lexical_overlap)
+    return hits.select("qid", "chunk_id", F.round("rerank", 6).alias("rerank"), "score", *_long("place"))
 
 
 _RK = "rk AS (SELECT qid, concept_id, row_number() OVER (PARTITION BY qid ORDER BY place, concept_id) AS rank FROM (SELECT qid, concept_id, min(place) AS place FROM hi GROUP BY ALL))"
@@ -159,17 +163,27 @@ def w8_concept_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.concept_ranks(_hits(spark, sf_dir)).select("qid", "concept_id", *_long("rank"))
 
 
+_ASKED = _Q.replace(" FROM l WHERE", " FROM l WHERE", 1).removesuffix(")") + " UNION ALL SELECT 'none/' || n_nationkey, lower(n_name) || ' zzyzx' FROM nation)"
+_RANKED = "hr AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS place FROM re QUALIFY place <= 15), rk AS (SELECT qid, concept_id, row_number() OVER (PARTITION BY qid ORDER BY place, concept_id) AS rank FROM (SELECT qid, concept_id, min(place) AS place FROM hr JOIN k USING (chunk_id) GROUP BY ALL))"
+
+
 @query(
-    with_(*_ALL, _CU, _RK)
-    + ", x AS (SELECT qid, (SELECT min(rank) FROM rk WHERE rk.qid = q.qid AND rk.concept_id = q.qid) AS rank, (SELECT max(rrf) FROM hi WHERE hi.qid = q.qid) AS best FROM q) SELECT "
-    + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10))
-    + ", round(avg(coalesce(1e0 / rank, 0)), 6) AS mrr, CAST(NULL AS DOUBLE) AS abstention, round(avg(CASE WHEN coalesce(best, 0) >= 0.2 THEN 1e0 ELSE 0e0 END), 6) AS confidence FROM x"
+    with_(LIVE, CHUNKS, _ASKED, _V, _QV, _BM, _VR, _FU, _CU, _RR, _RANKED)
+    + ", x AS (SELECT qid, starts_with(qid, 'none/') AS open, (SELECT min(rank) FROM rk WHERE rk.qid = q.qid AND rk.concept_id = q.qid) AS rank, (SELECT max(score) FROM hr WHERE hr.qid = q.qid) AS best FROM q) SELECT "
+    + ", ".join(f"round(avg(CASE WHEN open THEN NULL WHEN rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10))
+    + ", round(avg(CASE WHEN NOT open THEN coalesce(1e0 / rank, 0) END), 6) AS mrr, round(avg(CASE WHEN open THEN CASE WHEN coalesce(best, 0) < 0.2 THEN 1e0 ELSE 0e0 END END), 6) AS abstention, round(avg(CASE WHEN NOT open THEN CASE WHEN coalesce(best, 0) >= 0.2 THEN 1e0 ELSE 0e0 END END), 6) AS confidence FROM x"
 )
 def ev1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runbooks' titles as questions, and questions that no concept answers: a nation's name and a word of no language."""
     from ..session import cut
 
-    hits = cut(_hits(spark, sf_dir).select("qid", "concept_id", "place", "score"))
-    questions = _questions(spark, sf_dir).select("qid", F.array("qid").alias("concepts"))
+    asked = _asked(spark, sf_dir)
+    open_ = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("none/"), F.col("n_nationkey").cast("string")).alias("qid"), F.concat(F.lower("n_name"), F.lit(" zzyzx")).alias("q"), F.lit(None).cast(asked.schema["qvec"].dataType).alias("qvec"))
+    asked = cut(asked.unionByName(open_))
+    chunks = _chunks(spark, sf_dir)
+    hits = cut(retrieval.search(chunks, index.build_index(chunks), asked, _vectors(spark, sf_dir), reranker=retrieval.lexical_overlap).select("qid", "concept_id", "place", "score"))
+    none = F.array().cast("array<string>")
+    questions = asked.select("qid", F.when(F.startswith("qid", F.lit("none/")), none).otherwise(F.array("qid")).alias("concepts"))
     best = hits.groupBy("qid").agg(F.max("score").alias("best_score"))
     return evaluation.metrics(evaluation.question_results(questions, evaluation.concept_ranks(hits), best))
 
@@ -197,14 +211,17 @@ def ev3_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.build_probes(_chunks(spark, sf_dir), 150)
 
 
-@query("WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS key, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, a.vec_id AS target FROM embeddings a JOIN embeddings b ON a.label = b.label), o AS (SELECT qid, score AS own FROM s WHERE key = target), r AS (SELECT qid, CAST(sum((score > own)::INT) AS BIGINT) + 1 AS rank FROM s JOIN o USING (qid) GROUP BY 1) SELECT round(avg(CASE WHEN rank <= 1 THEN 1e0 ELSE 0e0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recall_10, round(avg(1e0 / rank), 6) AS mrr FROM r")
+@query(
+    "WITH t AS (SELECT a.vec_id AS qid, min(b.vec_id) AS target FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1), s AS (SELECT a.vec_id AS qid, b.vec_id AS key, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN t ON t.qid = a.vec_id, embeddings b WHERE a.vec_id <> b.vec_id), "
+    "o AS (SELECT s.qid, score AS own FROM s JOIN t ON s.qid = t.qid AND s.key = t.target), r AS (SELECT qid, CAST(sum((score > own)::INT) AS BIGINT) + 1 AS rank FROM s JOIN o USING (qid) GROUP BY 1) SELECT round(avg(CASE WHEN rank <= 1 THEN 1e0 ELSE 0e0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recall_10, round(avg(1e0 / rank), 6) AS mrr FROM r"
+)
 def ev4_probe_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.vectors import cosine
-
+    """The vectors of an id divisible by 100 are probes; the target of each is the next vector of its label, among all vectors."""
     e = read_table(spark, sf_dir, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("x"), "label"), e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("y"), "label")
-    scores = a.join(b, "label").select("qid", "key", F.col("qid").alias("target"), F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
-    return evaluation.recall(evaluation.probe_ranks(scores))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
+    follow = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
+    target = e.select(F.col("vec_id").alias("qid"), follow.alias("target")).filter("target IS NOT NULL")
+    return evaluation.recall(evaluation.target_ranks(e, asked.join(target, "qid"), "vec_id", "embedding"))
 
 
 @query("WITH r AS (SELECT DISTINCT run_id, epoch_ms(CAST(finished_at AS TIMESTAMPTZ)) - epoch_ms(CAST(started_at AS TIMESTAMPTZ)) AS ms FROM runs WHERE finished_at IS NOT NULL), v AS (SELECT list_sort(list(CAST(ms AS DOUBLE))) AS v FROM r) SELECT median(CAST(ms AS DOUBLE)) AS median, avg(CAST(ms AS DOUBLE)) AS mean, min(CAST(ms AS DOUBLE)) AS least, max(CAST(ms AS DOUBLE)) AS most, (SELECT v[greatest(1, CAST(floor(len(v) * 0.9) AS BIGINT))] FROM v) AS p90 FROM r")
@@ -220,12 +237,17 @@ def snk8_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.postings.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
 
 
-@query(with_(LIVE, CHUNKS) + r", t AS (SELECT chunk_id, concept_id, unnest(regexp_extract_all(lower(title || ' ' || coalesce(heading_path, '') || ' ' || text), '[\p{L}\p{N}]+')) AS term FROM k) SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL")
+@query(with_(LIVE, CHUNKS) + r", t AS (SELECT chunk_id, concept_id, unnest(regexp_extract_all(lower(title || ' ' || coalesce(heading_path, '') || ' ' || text), '[\p{L}\p{N}]+')) AS term FROM k WHERE concept_type <> 'Invoice') SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def man6_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings after the runbooks' chunks were deleted and inserted again: the same as a rebuild."""
-    chunks = _chunks(spark, sf_dir)
-    owner = chunks.select("chunk_id", "concept_id")
-    whole = index.build_index(chunks).postings.join(owner, "chunk_id")
-    changed = chunks.filter("concept_type = 'Runbook'")
-    fresh = index.build_index(changed).postings.join(owner, "chunk_id")
-    return index.replace_rows(whole, changed, fresh.select(*whole.columns)).select("chunk_id", "term", "tf")
+    """An index made when runbooks read otherwise and invoices were there, brought up to date: runbooks are read again, invoices are gone, the rest stays."""
+    now = _chunks(spark, sf_dir)
+    before = now.withColumn("text", F.when(F.col("concept_type") == "Runbook", F.concat(F.lit("obsolete "), F.reverse("text"))).otherwise(F.col("text")))
+    now = now.filter("concept_type <> 'Invoice'")
+    shape = ["concept_id", "chunk_id", "title", "heading_path", "text"]
+    documents = lambda rows: rows.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct(*shape[1:]))).alias("parts"))
+    fresh, stale = index.changed_concepts(index.fingerprints(documents(now)), index.fingerprints(documents(before)))
+    owner = lambda rows: rows.select("chunk_id", "concept_id")
+    old = index.build_index(before).postings.join(owner(before), "chunk_id")
+    changed = now.join(fresh, "concept_id", "left_semi")
+    new = index.build_index(changed).postings.join(owner(changed), "chunk_id")
+    return index.replace_rows(old, stale, new.select(*old.columns)).select("chunk_id", "term", "tf")
