@@ -55,6 +55,27 @@ def estimate_tokens(s: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.length(s) / F.lit(CHARS_PER_TOKEN)).cast("int"))
 
 
+def tokens_to_chars(tokens: Column) -> Column:
+    """The characters that so many tokens may take, cut off."""
+    return F.floor(tokens * F.lit(CHARS_PER_TOKEN)).cast("int")
+
+
+def paragraphs(s: Column) -> Column:
+    """The parts between blank lines, trimmed, without empty ones."""
+    trimmed = F.transform(F.split(s, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(trimmed, lambda p: p != "")
+
+
+def concept_of_path(path: Column) -> Column:
+    """The id of a document by its path within the bundle."""
+    return F.regexp_replace(F.regexp_replace(path, r"^/+", ""), r"\.md$", "")
+
+
+def utc_day(seconds: Column) -> Column:
+    """The day of an instant in seconds since 1970, in the session's zone, which is UTC."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+
+
 def word_count(s: Column) -> Column:
     """Number of runs of characters that are no white space."""
     return F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import directory, is_file_like
@@ -140,6 +140,11 @@ def duplicate_candidates(nodes: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"), "reason").distinct()
 
 
+def numbered_rows(down: list[str], up: list[str]) -> Column:
+    """The number of a row, for tables of few rows: by ``down`` from the greatest, then by ``up`` from the least."""
+    return F.row_number().over(Window.orderBy(*[F.desc(c) for c in down], *up))
+
+
 #: What speaks more strongly for one and the same entity.
 REASONS = ("contained", "email")
 

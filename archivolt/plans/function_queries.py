@@ -109,13 +109,3 @@ def st7_drain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = manifest.to_deprecate(_files(spark, sf_dir), records).select("source_hash", F.lit(True).alias("gone"))
     before = F.coalesce("status", F.lit("stable"))
     return records.join(gone, "source_hash", "left").groupBy(before.alias("before"), F.when(F.col("gone"), "deprecated").otherwise(before).alias("after")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def gr19_related_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The concepts that each rendered document links to, in order of appearance, without itself."""
-    live = _live(spark, sf_dir)
-    docs = bundle.documents(live, live.select("source_hash", F.lit(None).cast("string").alias("path")), bundle.related(live))
-    links = docs.select("concept_id", F.posexplode(tx.markdown_links(F.col("body"))).alias("place", "target"))
-    links = links.select("concept_id", "place", orphans.link_concept(F.col("concept_id"), F.col("target")).alias("peer")).filter(F.col("peer") != F.col("concept_id"))
-    return graph.first_per(links, "concept_id", ["place"], 8).groupBy("concept_id", "peer").agg(F.min("place").alias("place"))

@@ -60,3 +60,32 @@ SELECT ref_table, month, count(*) AS orphans, count(DISTINCT target_key) AS miss
 )
 def p3_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans_by_month(*[read_table(spark, sf_dir, t) for t in _TABLES])
+
+
+_KEYS = f"""WITH r AS (SELECT DISTINCT chunk_id, CASE WHEN chunk_index % 5 = 3 THEN NULL ELSE concept_id END AS concept_id, CASE WHEN source IS NULL THEN NULL ELSE {_HASH.format('source_hash')} END AS source_hash FROM chunks),
+t AS (SELECT DISTINCT concept_id, {_HASH.format('source_hash')} AS source_hash FROM concepts WHERE coalesce(status, '') <> 'deprecated') SELECT chunk_id, concept_id, source_hash FROM r WHERE """
+_NONE = "NOT EXISTS (SELECT 1 FROM t WHERE (r.concept_id IS NULL OR t.concept_id = r.concept_id) AND (r.source_hash IS NULL OR t.source_hash = r.source_hash))"
+
+
+def _composite(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
+    """Chunks refer to a concept by its id and the hash of its source; every fifth does not name the concept, some do not
+    name the source. Orphans under a match semantics."""
+    chunks, concepts = read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "concepts")
+    refs = chunks.select("chunk_id", F.when(F.col("chunk_index") % 5 != 3, F.col("concept_id")).alias("concept_id"), F.when(F.col("source").isNotNull(), orphans.normal_hash(F.col("source_hash"))).alias("source_hash")).distinct()
+    live = concepts.filter("coalesce(status, '') <> 'deprecated'").select("concept_id", orphans.normal_hash(F.col("source_hash")).alias("source_hash"))
+    return orphans.orphan_references(refs, ["concept_id", "source_hash"], live, ["concept_id", "source_hash"], match)
+
+
+@query(_KEYS + "concept_id IS NOT NULL AND source_hash IS NOT NULL AND " + _NONE)
+def p3_simple_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composite(spark, sf_dir, "simple")
+
+
+@query(_KEYS + "(concept_id IS NOT NULL OR source_hash IS NOT NULL) AND " + _NONE)
+def p3_partial_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composite(spark, sf_dir, "partial")
+
+
+@query(_KEYS + "(concept_id IS NULL) <> (source_hash IS NULL) OR (concept_id IS NOT NULL AND source_hash IS NOT NULL AND " + _NONE + ")")
+def p3_full_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composite(spark, sf_dir, "full")
