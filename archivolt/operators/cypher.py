@@ -1,10 +1,13 @@
 """A small graph query language compiled to joins.
 
-``MATCH pattern[, pattern] [WHERE conditions] RETURN [DISTINCT] items [ORDER BY
-items] [LIMIT n]`` with node patterns ``(n:Label {prop: 'v'})``, edges
+``MATCH pattern[, pattern] [WHERE conditions] [OPTIONAL MATCH (a)-[:T]->(b)
+[WHERE conditions]] [WITH items [WHERE conditions]] RETURN [DISTINCT] items [ORDER
+BY items] [SKIP n] [LIMIT n]`` with node patterns ``(n:Label {prop: 'v'})``, edges
 ``-[:T]->``, ``<-[:T]-``, ``-[:T]-``, ``-[r:T]->`` and ``*1..k``, comparisons ``=``,
-``<>``, ``<``, ``>``, ``<=``, ``>=``, ``IN [...]``, ``AND``, and the aggregates
-``count(x)``, ``count(DISTINCT x)`` and ``count(*)``. Values are bound as literals,
+``<>``, ``<``, ``>``, ``<=``, ``>=``, ``IN [...]``, ``IS [NOT] NULL``, ``CONTAINS``,
+``STARTS WITH``, ``ENDS WITH``, joined by ``AND``, ``OR``, ``NOT`` and parentheses, and
+the aggregates count, sum, avg, min, max and collect, each with DISTINCT if wanted,
+and ``count(*)``. After WITH only its names are known. Values are bound as literals,
 never as text of a query. Anything else raises :class:`QueryError`.
 
 Nodes and edges are tables: a node table has a key column, an edge table from_id
@@ -147,12 +150,23 @@ def _edge(r: _Reader) -> _Edge:
     return _Edge(name, kind, ways[start, end], low, high)
 
 
+_AGGREGATES = {
+    "count": lambda c, only: F.countDistinct(c) if only else F.count(c),
+    "sum": lambda c, only: F.sum_distinct(c) if only else F.sum(c),
+    "avg": lambda c, only: F.sum_distinct(c) / F.countDistinct(c) if only else F.avg(c),
+    "min": lambda c, only: F.min(c),
+    "max": lambda c, only: F.max(c),
+    "collect": lambda c, only: F.array_sort(F.collect_set(c) if only else F.collect_list(c)),
+}
+
+
 class Compiler:
     """One query over one graph."""
 
     def __init__(self, graph: Graph):
         self.graph = graph
         self.labels: dict[str, str] = {}
+        self.scope: set[str] = set()
 
     def _table(self, node: _Node) -> DataFrame:
         if node.label not in self.graph.nodes:
@@ -233,8 +247,36 @@ class Compiler:
                 at = node
         if r.word("WHERE"):
             rows = rows.filter(self._conditions(r))
+        while r.word("OPTIONAL"):
+            rows = self._optional(r, rows, bound, made)
+        while r.word("WITH"):
+            rows = self._with(r, rows, counted)
+            counted = {}
         return self._return(r, rows, counted)
 
+    def _optional(self, r: _Reader, rows: DataFrame, bound: set[str], made: list[int]) -> DataFrame:
+        """OPTIONAL MATCH of one edge from a bound variable: its other end, or null where there is none."""
+        if not r.word("MATCH"):
+            raise QueryError("expected MATCH")
+        left, edge, right = _node(r, made), _edge(r), _node(r, made)
+        if left.name not in bound or right.name in bound or left.props or edge.name:
+            raise QueryError("an optional pattern leads by one edge from a bound variable to a new one")
+        left.label = self.labels[left.name]
+        step, _, other = self._steps(edge, left.label)
+        right.label = right.label or other
+        ends = self._table(right)
+        found = step.select(F.col("__x").alias("__from"), F.col("__y").alias("__to")).distinct().join(ends, F.col("__to") == self._id(right.name))
+        if r.word("WHERE"):
+            found = found.filter(self._conditions(r))
+        bound.add(right.name)
+        return rows.join(found, self._id(left.name) == F.col("__from"), "left").drop("__from", "__to")
+
+    def _with(self, r: _Reader, rows: DataFrame, counted: dict[str, str]) -> DataFrame:
+        """WITH: named values, aggregated or not, which alone are known from here on; WHERE chooses among them."""
+        rows, names = self._items(r, rows, counted)
+        self.labels, self.scope = {}, set(names)
+        return rows.filter(self._conditions(r)) if r.word("WHERE") else rows
+
     def _infer(self, patterns: list) -> None:
         """Labels that an edge's type tells."""
         known: dict[str, str] = {n.name: n.label for chain in patterns for n in chain[::2] if n.label}
@@ -272,6 +314,8 @@ class Compiler:
 
     def _term(self, r: _Reader) -> tuple[Column, str]:
         name = r.name()
+        if name in self.scope:
+            return F.col(f"`{name}`"), name
         if r.peek() == ".":
             r.take()
             prop = r.name()
@@ -283,12 +327,26 @@ class Compiler:
         return self._id(name), name
 
     def _conditions(self, r: _Reader) -> Column:
+        """OR binds less than AND, AND less than NOT; parentheses bind most."""
+        out = self._all_of(r)
+        while r.word("OR"):
+            out = out | self._all_of(r)
+        return out
+
+    def _all_of(self, r: _Reader) -> Column:
         out = self._condition(r)
         while r.word("AND"):
             out = out & self._condition(r)
         return out
 
     def _condition(self, r: _Reader) -> Column:
+        if r.word("NOT"):
+            return ~self._condition(r)
+        if r.peek() == "(":
+            r.take()
+            out = self._conditions(r)
+            r.take(")")
+            return out
         left, _ = self._term(r)
         if r.word("IN"):
             r.take("[")
@@ -299,31 +357,41 @@ class Compiler:
                     r.take()
             r.take("]")
             return left.isin(*values)
+        if r.word("IS"):
+            absent = not r.word("NOT")
+            if not r.word("NULL"):
+                raise QueryError("expected NULL")
+            return left.isNull() if absent else left.isNotNull()
+        for words, test in ((("CONTAINS",), F.contains), (("STARTS", "WITH"), F.startswith), (("ENDS", "WITH"), F.endswith)):
+            if r.word(words[0]):
+                if words[1:] and not r.word(words[1]):
+                    raise QueryError(f"expected {words[1]}")
+                return test(left, F.lit(r.value()) if r.peek()[:1] in ("'", '"') else self._term(r)[0])
         op = r.take()
-        right = F.lit(r.value()) if r.peek()[:1] in "'\"0123456789" else self._term(r)[0]
+        right = F.lit(r.value()) if r.peek()[:1] in tuple("'\"0123456789") else self._term(r)[0]
         tests = {"=": lambda: left == right, "<>": lambda: left != right, "<": lambda: left < right, ">": lambda: left > right, "<=": lambda: left <= right, ">=": lambda: left >= right}
         if op not in tests:
             raise QueryError(f"unknown comparison {op}")
         return tests[op]()
 
-    def _return(self, r: _Reader, rows: DataFrame, counted: dict[str, str]) -> DataFrame:
-        if not r.word("RETURN"):
-            raise QueryError("expected RETURN")
+    def _items(self, r: _Reader, rows: DataFrame, counted: dict[str, str]) -> tuple[DataFrame, list[str]]:
+        """The values of RETURN or WITH, grouped by those that are not aggregated, and their names."""
         distinct = r.word("DISTINCT")
         plain, aggregates, order = [], [], []
         while True:
-            if r.peek().lower() == "count" and r.peek(1) == "(":
-                r.take(), r.take()
+            if r.peek().lower() in _AGGREGATES and r.peek(1) == "(":
+                what = r.take().lower()
+                r.take()
                 only = r.word("DISTINCT")
-                if r.peek() == "*":
+                if r.peek() == "*" and what == "count":
                     r.take()
                     column, label = F.count(F.lit(1)), "count(*)"
                 else:
                     if r.peek() in counted:
-                        inner, label = F.col(counted[r.take()]), "count"
+                        inner, label = F.col(counted[r.take()]), what
                     else:
                         inner, label = self._term(r)
-                    column = F.countDistinct(inner) if only else F.count(inner)
+                    column = _AGGREGATES[what](inner, only)
                 r.take(")")
                 name = r.name() if r.word("AS") else label
                 aggregates.append(column.alias(name))
@@ -344,6 +412,12 @@ class Compiler:
         else:
             rows = rows.select(*plain)
             rows = rows.distinct() if distinct else rows
+        return rows, order
+
+    def _return(self, r: _Reader, rows: DataFrame, counted: dict[str, str]) -> DataFrame:
+        if not r.word("RETURN"):
+            raise QueryError("expected RETURN")
+        rows, order = self._items(r, rows, counted)
         if r.word("ORDER"):
             if not r.word("BY"):
                 raise QueryError("expected BY")
@@ -357,6 +431,8 @@ class Compiler:
                     break
                 r.take()
             rows = rows.orderBy(*keys, *[n for n in order if n in rows.columns])
+        if r.word("SKIP"):
+            rows = rows.offset(int(r.value()))
         if r.word("LIMIT"):
             rows = rows.limit(int(r.value()))
         if r.peek():

@@ -49,9 +49,13 @@ def st5_change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> cypher.Graph:
     c = read_table(spark, sf_dir, "concepts")
+    states = catalogue.file_states(read_table(spark, sf_dir, "files"))
+    files, derived = graph.file_nodes(states, c), graph.derived_edges(states, c)
     edge = lambda rows, a, b: rows.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"))
-    nodes = {"Concept": (graph.concept_nodes(c), "concept_id"), "Entity": (graph.mentions(c).groupBy("key").agg(F.min("name").alias("name"), F.min("kind").alias("kind")), "key"), "Tag": (graph.tag_nodes(c), "tag")}
+    nodes = {"Concept": (graph.concept_nodes(c), "concept_id"), "Entity": (graph.mentions(c).groupBy("key").agg(F.min("name").alias("name"), F.min("kind").alias("kind")), "key"), "Tag": (graph.tag_nodes(c), "tag"), "File": (files, "hash")}
     edges = {"LINKS_TO": (graph.link_edges(read_table(spark, sf_dir, "links_to"), c), "Concept", "Concept"), "MENTIONS": (edge(graph.mention_edges(c), "concept_id", "key"), "Concept", "Entity"), "TAGGED_AS": (edge(graph.tag_edges(c), "concept_id", "tag"), "Concept", "Tag")}
+    edges["CHILD_OF"] = (edge(graph.child_edges(graph.concept_nodes(c)), "child", "parent"), "Concept", "Concept")
+    edges["DERIVED_FROM"] = (derived.toDF("from_id", "to_id"), "Concept", "File")
     return cypher.Graph(nodes, edges)
 
 
@@ -75,11 +79,26 @@ def gr15_variable_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cypher.run(_graph(spark, sf_dir), "MATCH (a:Concept)-[:LINKS_TO*1..2]-(b:Concept) WHERE a.type = 'Runbook' AND a.concept_id <> b.concept_id RETURN DISTINCT a.concept_id AS start, b.concept_id AS reached")
 
 
-@query(with_(LIVE, _REAL, TAGS) + "SELECT (SELECT count(*) FROM l) + (SELECT count(DISTINCT key) FROM r) + (SELECT count(DISTINCT tag) FROM t) AS nodes")
+@query(with_(FILES, LIVE, _REAL, TAGS) + "SELECT (SELECT count(*) FROM l) + (SELECT count(DISTINCT key) FROM r) + (SELECT count(DISTINCT tag) FROM t) + (SELECT count(DISTINCT hash) FROM f WHERE hash IN (SELECT source_hash FROM l)) AS nodes")
 def gr15_count_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cypher.run(_graph(spark, sf_dir), "MATCH (n) RETURN count(n) AS nodes")
 
 
+@query(with_(LIVE) + "SELECT concept_id AS id FROM l WHERE (concept_type = 'Runbook' OR concept_type = 'Invoice') AND NOT contains(title, 'the') AND starts_with(sensitivity, 'w')")
+def gr15_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cypher.run(_graph(spark, sf_dir), "MATCH (c:Concept) WHERE (c.type = 'Runbook' OR c.type = 'Invoice') AND NOT c.title CONTAINS 'the' AND c.sensitivity STARTS WITH 'w' RETURN c.concept_id AS id")
+
+
+@query(with_(FILES, LIVE) + "SELECT concept_id AS id, count(DISTINCT f.hash) AS files FROM l LEFT JOIN f ON f.hash = l.source_hash GROUP BY 1")
+def gr15_optional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cypher.run(_graph(spark, sf_dir), "MATCH (c:Concept) OPTIONAL MATCH (c)-[:DERIVED_FROM]->(f:File) RETURN c.concept_id AS id, count(DISTINCT f) AS files")
+
+
+@query(with_(LIVE, TAGS) + ", d AS (SELECT DISTINCT concept_id, tag FROM t), n AS (SELECT tag, count(DISTINCT concept_id) AS docs FROM d GROUP BY 1) SELECT docs, count(*) AS tags, list_sort(list(tag)) AS named FROM n WHERE docs > 3 GROUP BY 1")
+def gr15_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cypher.run(_graph(spark, sf_dir), "MATCH (c:Concept)-[:TAGGED_AS]->(t:Tag) WITH t.tag AS tag, count(DISTINCT c) AS docs WHERE docs > 3 RETURN docs, count(tag) AS tags, collect(tag) AS named")
+
+
 @query(with_(FILES) + "SELECT path FROM f WHERE path = '/vol/shared' OR starts_with(path, '/vol/shared/')")
 def prj22_under_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.file_states(read_table(spark, sf_dir, "files")).filter(manifest.under(F.col("path"), F.lit("/vol/shared"))).select("path")

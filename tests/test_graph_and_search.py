@@ -61,6 +61,12 @@ def compiled(tables):
         ("MATCH (a:Concept)-[:LINKS_TO]-(b) WHERE a.concept_id IN ['guide/settle'] RETURN DISTINCT b.concept_id AS id", [("guide/reseal",)]),
         ("MATCH (c:Concept)-[r:TAGGED_AS]->(t:Tag) RETURN count(r) AS n", [(4,)]),
         ("MATCH (a:Concept {concept_id: 'it''s'}) RETURN a", []),
+        ("MATCH (c:Concept) WHERE c.type = 'Memo' OR c.type = 'Guide' AND NOT c.concept_id CONTAINS 'settle' RETURN c.concept_id AS id ORDER BY id", [("guide/reseal",)]),
+        ("MATCH (c:Concept) WHERE (c.concept_id STARTS WITH 'guide' OR c.concept_id ENDS WITH 'vest') AND c.title IS NOT NULL RETURN c.concept_id AS id ORDER BY id DESC SKIP 1 LIMIT 1", [("guide/settle",)]),
+        ("MATCH (c:Concept)-[:TAGGED_AS]->(t:Tag) RETURN c.concept_id AS id, collect(t.tag) AS tags, min(t.tag) AS low, sum(t.concept_count) AS s, avg(t.concept_count) AS m ORDER BY id LIMIT 1", [("guide/reseal", ["ops", "valve"], "ops", 3, 1.5)]),
+        ("MATCH (c:Concept)-[:MENTIONS]->(e:Entity) WITH e.kind AS kind, count(DISTINCT e) AS n WHERE n > 0 AND NOT kind = 'project' RETURN kind, n ORDER BY kind", [("organization", 1), ("person", 1)]),
+        ("MATCH (c:Concept) OPTIONAL MATCH (c)-[:LINKS_TO]->(d:Concept) RETURN c.concept_id AS id, d.concept_id AS to ORDER BY id", [("guide/reseal", "guide/settle"), ("guide/settle", None), ("survey/harvest", None)]),
+        ("MATCH (c:Concept) OPTIONAL MATCH (c)-[:MENTIONS]->(e:Entity) WHERE e.kind = 'project' RETURN c.concept_id AS id, count(e) AS n ORDER BY id", [("guide/reseal", 0), ("guide/settle", 0), ("survey/harvest", 1)]),
     ],
 )
 def test_cypher(compiled, text, rows):
