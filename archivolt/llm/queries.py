@@ -102,7 +102,13 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("concept_id_a").alias("concept_a"), F.col("concept_id_b").alias("concept_b"), F.round("similarity", 6).alias("similarity"))
 
 
-@_query()
+@_query(
+    _P5_SQL.format("").split("SELECT a AS concept_a")[0]
+    + """, g AS (SELECT concept_id, list_sort(list(m)) AS own FROM c WHERE m <> '' GROUP BY 1), h AS (SELECT own, min(concept_id) AS class_id, count(*) AS copies FROM g GROUP BY 1),
+v AS (SELECT class_id, unnest(own) AS m, len(own) AS n FROM h), w AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS s, x.n + y.n AS sizes FROM v x JOIN v y ON x.m = y.m AND x.class_id <> y.class_id GROUP BY x.class_id, y.class_id, x.n, y.n),
+k AS (SELECT a, count(*) AS links FROM w WHERE s / (sizes - s) >= 0.6 - 1e-12 GROUP BY 1)
+SELECT concept_id, class_id, copies, coalesce(links, 0) AS links FROM g JOIN h USING (own) LEFT JOIN k ON k.a = class_id"""
+)
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_pairs.record_classes(_concept_sets(spark, sf_dir), "concept_id")
 

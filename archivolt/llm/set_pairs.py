@@ -262,9 +262,10 @@ def similar_records(members: DataFrame, key: str, member: str = "member", thresh
 
 
 def record_classes(members: DataFrame, key: str, member: str = "member", threshold: float = 0.6, **options: float) -> DataFrame:
-    """``key``, class_id, copies, links: one row for each record, with the number of other classes its set is similar to."""
+    """``key``, class_id (the least key of the records of the same set), copies, links: one row for each record, with the
+    number of other classes its set is similar to."""
     pairs, held = similar_set_pairs(members, key, member, threshold, **options)
     links = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").count().withColumnRenamed("count", "links")
-    copies = held.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
-    rows = held.join(copies, "sid").join(links, "sid", "left")
-    return rows.select(key, F.lower(F.hex("sid")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    classes = held.groupBy("sid").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    rows = held.join(classes.join(links, "sid", "left"), "sid")
+    return rows.select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
