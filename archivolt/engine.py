@@ -49,11 +49,12 @@ class Engine:
         """Whether a table has a complete version; a table that cannot be read is an error, not an empty one."""
         return bool(self._versions(name))
 
-    def write(self, rows: DataFrame, name: str, keep: int = 2) -> None:
+    def write(self, rows: DataFrame, name: str, keep: int = 2, by: str | None = None) -> None:
         """A new version of a table, which readers see once it is complete; older ones but the last are removed."""
         versions = self._versions(name)
         following = int(versions[-1][1:]) + 1 if versions else 1
-        rows.write.mode("overwrite").parquet(f"{self.path(name)}/v{following:08d}")
+        writer = rows.repartition(by).write.partitionBy(by) if by else rows.write
+        writer.mode("overwrite").parquet(f"{self.path(name)}/v{following:08d}")
         context = self.spark.sparkContext
         for old in versions[: max(0, len(versions) + 1 - keep)]:
             path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{old}")
@@ -166,14 +167,15 @@ class Engine:
         new = cut(new.join(told.drop("summary"), "concept_id").withColumn("source", F.lit("local")))
         built = index.build_index(new)
         owner = new.select("chunk_id", "concept_id")
-        fresh = {"chunks": new, "postings": built.postings.join(owner, "chunk_id"), "lengths": built.lengths.join(owner, "chunk_id")}
+        fresh = {"chunks": new, "postings": built.postings.join(owner, "chunk_id").withColumn("part", index.term_part(F.col("term"))), "lengths": built.lengths.join(owner, "chunk_id")}
         if embed is not None:
             vector = F.pandas_udf(embed, "array<float>")
             fresh["vectors"] = new.select("chunk_id", "concept_id", vector(chunking.embed_input(F.col("title"), F.col("heading_path"), F.col("text"))).alias("vector"))
         elif self.has("vectors"):  # vectors of what changed are gone rather than stale
             fresh["vectors"] = self.read("vectors").limit(0)
         for name, rows in fresh.items():
-            self.write(rows if fresh_start or not self.has(name) else index.replace_rows(self.read(name), stale, rows), name)
+            self.write(rows if fresh_start or not self.has(name) else index.replace_rows(self.read(name), stale, rows), name, by="part" if name == "postings" else None)
+        self.write(index.document_frequencies(self.read("postings")), "terms")
         self.write(self.read("lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")), "stats")
         self.write(now, "indexed")
         return self.read("chunks").agg(F.count(F.lit(1)).alias("chunks")).withColumn("changed", F.lit(changed.count()))
@@ -218,7 +220,7 @@ class Engine:
     def evaluate(self, questions: list[tuple[str, str, list[str]]]) -> dict:
         """Hit rates, reciprocal rank, abstention and confidence for questions of :func:`.config.load_questions`."""
         asked = self.spark.createDataFrame(questions, "qid string, q string, concepts array<string>")
-        built = index.KeywordIndex(self.read("postings").drop("concept_id"), self.read("lengths").drop("concept_id"), self.read("stats"))
+        built = index.KeywordIndex(self.read("postings").drop("concept_id", "part"), self.read("lengths").drop("concept_id"), self.read("stats"), self.read("terms"))
         hits = cut(retrieval.search(self.read("chunks"), built, asked.select("qid", "q"), None, self.graph_tables().edges["LINKS_TO"][0], retrieval.lexical_overlap).select("qid", "concept_id", "place", "score"))
         best = hits.groupBy("qid").agg(F.max("score").alias("best_score"))
         return evaluation.metrics(evaluation.question_results(asked, evaluation.concept_ranks(hits), best), self.config.retrieval.weak_score).first().asDict()
@@ -245,13 +247,17 @@ class Engine:
             stats.update(enriched=done, changed=changed, waiting=left)
         return stats
 
-    def search(self, text: str, qvec: list[float] | None = None, limit: int = 0, **filters: str | None) -> DataFrame:
-        """The best hits for one query; with a query vector and stored vectors both rankings are fused."""
+    def search(self, text: str, qvec: list[float] | None = None, limit: int = 0, edges: bool = True, **filters: str | None) -> DataFrame:
+        """The best hits for one query, with those linked to them unless ``edges`` is false; with a query vector and stored vectors both rankings are fused."""
         q = self.spark.createDataFrame([("q", text, qvec)], "qid string, q string, qvec array<double>")
-        built = index.KeywordIndex(self.read("postings").drop("concept_id"), self.read("lengths").drop("concept_id"), self.read("stats"))
+        # only the parts of the postings that may hold the question's terms are read
+        terms = [r["term"] for r in retrieval.question_terms(q).collect()]  # those of one question
+        parts = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(index.term_part(F.col("term"))).distinct().collect()]
+        postings = self.read("postings").filter(F.col("part").isin(parts) & F.col("term").isin(terms)).drop("concept_id", "part")
+        built = index.KeywordIndex(postings, self.read("lengths").drop("concept_id"), self.read("stats"), self.read("terms").filter(F.col("term").isin(terms)))
         vectors = self.read("vectors") if qvec is not None and self.has("vectors") else None
-        edges = self.graph_tables().edges["LINKS_TO"][0]
-        return retrieval.search(self.read("chunks"), built, q, vectors, edges, limit=limit or self.config.retrieval.limit, **filters)
+        links = self.graph_tables().edges["LINKS_TO"][0] if edges else None
+        return retrieval.search(self.read("chunks"), built, q, vectors, links, limit=limit or self.config.retrieval.limit, **filters)
 
     # Answers as plain dictionaries, for tools and services.
 

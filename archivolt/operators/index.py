@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms
@@ -12,11 +12,13 @@ from ..functions.text import index_terms
 
 @dataclass
 class KeywordIndex:
-    """postings (term, chunk_id, tf), lengths (chunk_id, length) and stats (one row: n, mean)."""
+    """postings (term, chunk_id, tf, length of the chunk), lengths (chunk_id, length), stats (one row: n, mean) and,
+    where they are kept, terms (term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    terms: DataFrame | None = None
 
 
 def indexed_text(*columns: str):
@@ -30,8 +32,10 @@ def chunk_terms(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ..
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("title", "heading_path", "text")) -> KeywordIndex:
     """The index of ``chunks``; title, headings and text weigh the same."""
-    sized = chunks.select(key, F.size(index_terms(indexed_text(*columns))).cast("long").alias("length"))
-    postings = chunk_terms(chunks, key, columns).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    split = chunks.select(key, index_terms(indexed_text(*columns)).alias("terms")).select(key, "terms", F.size("terms").cast("long").alias("length"))
+    sized = split.select(key, "length")
+    postings = split.select(key, "length", F.explode("terms").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    postings = postings.select("term", key, "tf", "length")
     return KeywordIndex(postings, sized, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
 
 
@@ -49,6 +53,19 @@ def changed_concepts(now: DataFrame, before: DataFrame) -> tuple[DataFrame, Data
     return fresh, fresh.unionByName(before.select("concept_id").join(now.select("concept_id"), "concept_id", "left_anti"))
 
 
+#: Parts that stored postings are written in, by a hash of the term.
+TERM_PARTS = 64
+
+
+def term_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+
+
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    """term, df."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def replace_rows(table: DataFrame, changed: DataFrame, fresh: DataFrame, key: str = "concept_id") -> DataFrame:
     """``table`` with the rows of the changed keys replaced by ``fresh``: delete, then insert."""
     return table.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh)

@@ -49,13 +49,14 @@ def bm25(index: KeywordIndex, queries: DataFrame, key: str = "chunk_id", column:
     """qid, key, score of every chunk that holds a term of the query.
 
     The index's postings of the queries' terms are kept by a join that the query
-    side's size decides; document frequencies come from those postings alone.
+    side's size decides; document frequencies are those the index keeps, else they
+    come from those postings alone.
     """
     terms = small_side(question_terms(queries, column))
     hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.terms.join(terms.select("term").distinct(), "term", "left_semi") if index.terms is not None else hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(index.stats)  # one row
-    rows = hits.join(df, "term").join(terms, "term").join(index.lengths, key).crossJoin(stats)
+    rows = hits.join(df, "term").join(terms, "term").crossJoin(stats)
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))) * F.col("weight")
     return rows.groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
