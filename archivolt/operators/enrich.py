@@ -18,6 +18,17 @@ MAX_TAGS, MAX_ENTITIES, PROMPT_WORDS = 6, 12, 2000
 RECORD = "struct<title:string,description:string,concept_type:string,tags:array<string>,entities:array<struct<name:string,kind:string>>,sensitivity:string>"
 
 
+def response_schema() -> dict:
+    """The JSON schema of what an enricher is to say, with the allowed values and sizes; for engines that can be bound to one."""
+    text = {"type": "string"}
+    entity = {"type": "object", "properties": {"name": text, "kind": {"type": "string", "enum": list(KINDS)}}, "required": ["name", "kind"], "additionalProperties": False}
+    fields = {
+        "title": {**text, "maxLength": 120}, "description": {**text, "maxLength": 400}, "concept_type": {"type": "string", "enum": list(TYPES)},
+        "tags": {"type": "array", "items": text, "maxItems": MAX_TAGS}, "entities": {"type": "array", "items": entity, "maxItems": MAX_ENTITIES}, "sensitivity": {"type": "string", "enum": ["work", "personal"]},
+    }
+    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
+
 def excerpt(text: Column, words: int = PROMPT_WORDS) -> Column:
     """The first ``words`` words of a text."""
     return F.array_join(F.slice(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), 1, words), " ")

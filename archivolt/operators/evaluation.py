@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -98,6 +100,30 @@ def target_ranks(vectors: DataFrame, probes: DataFrame, key: str, vector: str, h
     return reduce(DataFrame.unionByName, parts).groupBy("qid").agg((F.sum("n") + 1).alias("rank"))
 
 
+def benchmark(chunks: DataFrame, embedders: dict[str, Callable[[pd.Series], pd.Series]], probes: int = 150, least: int = 50) -> DataFrame:
+    """embedder, recall_1, recall_5, recall_10, mrr, seconds of each embedder (texts -> vectors), all on the same chunks
+    (chunk_id, text) and the same probes. Fewer chunks than ``least`` are an error."""
+    if chunks.limit(least).count() < least:
+        raise ValueError(f"a benchmark needs {least} chunks")
+    asked = cut(build_probes(chunks, probes))
+    rest = chunks.join(asked.select("chunk_id", F.col("text").alias("__rest")), "chunk_id", "left").select("chunk_id", F.coalesce("__rest", "text").alias("text"))
+    parts = []
+    for name, embed in embedders.items():
+        began = time.monotonic()
+        vector = F.pandas_udf(embed, "array<double>")
+        vectors = cut(rest.select("chunk_id", vector("text").alias("vector")))
+        # a probe is a vector of its own that no other probe is compared with
+        queries = asked.select(F.concat(F.lit("?"), "chunk_id").alias("qid"), vector("query").alias("qvec"), F.col("chunk_id").alias("target"))
+        row = recall(target_ranks(vectors, queries, "chunk_id", "vector"))
+        parts.append(cut(row.select(F.lit(name).alias("embedder"), "*", F.lit(time.monotonic() - began).alias("seconds"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def benchmark_report(results: DataFrame) -> DataFrame:
+    """best, fastest: the embedder of the best recall at 5 (of several the one of the best mrr) and the fastest; one row."""
+    return results.agg(F.max_by("embedder", F.struct("recall_5", "mrr")).alias("best"), F.min_by("embedder", "seconds").alias("fastest"))
+
+
 def collect_chunks(chunks: DataFrame, count: int, words: tuple[int, int] = (200, 20_000), least: int = 40, seed: str = "11") -> DataFrame:
     """chunk_id, text: ``count`` chunks of ``least`` words or more, of documents whose word count lies in ``words``, in hash order."""
     sized = chunks.select("chunk_id", "concept_id", "text", word_count(F.col("text")).alias("n"))

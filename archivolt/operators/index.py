@@ -39,6 +39,25 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ..
     return KeywordIndex(postings, sized, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
 
 
+def _stems(batches):
+    from ..functions.stemmer import stem
+
+    for batch in batches:
+        yield batch.assign(stem=[stem(t) for t in batch["term"]])
+
+
+def stems(terms: DataFrame) -> DataFrame:
+    """term, stem of the distinct ``terms`` (term)."""
+    return terms.select("term").distinct().mapInPandas(_stems, "term string, stem string")
+
+
+def stemmed(built: KeywordIndex, key: str = "chunk_id") -> KeywordIndex:
+    """The index over stems: each different term is stemmed once, and the postings of terms of one stem are added up."""
+    known = stems(built.postings)
+    rows = built.postings.join(known, "term").groupBy(F.col("stem").alias("term"), key, "length").agg(F.sum("tf").alias("tf"))
+    return KeywordIndex(rows.select("term", key, "tf", "length"), built.lengths, built.stats)
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """concept_id, print: a digest of everything that a concept's chunks are made of (all other columns)."""
     columns = sorted(c for c in documents.columns if c != "concept_id")

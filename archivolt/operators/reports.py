@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import error_class
 
 
+def folder_megabytes(spark: SparkSession, path: str) -> float:
+    """The size of a folder or file in megabytes, as its file system tells; 0 if it is not there."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(context._jsc.hadoopConfiguration())
+    return fs.getContentSummary(where).getLength() / 1e6 if fs.exists(where) else 0.0
+
+
 def scan_status(files: DataFrame) -> DataFrame:
     """Files and bytes by scan status."""
     return files.groupBy("scan_status").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import index_terms, query_terms, snippet
 from ..session import cut, is_small
-from .index import KeywordIndex
+from .index import KeywordIndex, stems
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Query vectors that every task may hold as one matrix.
@@ -45,14 +45,20 @@ def question_terms(queries: DataFrame, column: str = "q") -> DataFrame:
     return queries.select("qid", F.explode(terms).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def bm25(index: KeywordIndex, queries: DataFrame, key: str = "chunk_id", column: str = "q") -> DataFrame:
+def stemmed_terms(queries: DataFrame, column: str = "q") -> DataFrame:
+    """As :func:`question_terms`, over stems, for an index of stems."""
+    terms = question_terms(queries, column)
+    return terms.join(stems(terms), "term").groupBy("qid", F.col("stem").alias("term")).agg(F.sum("weight").alias("weight"))
+
+
+def bm25(index: KeywordIndex, queries: DataFrame, key: str = "chunk_id", column: str = "q", stemmed: bool = False) -> DataFrame:
     """qid, key, score of every chunk that holds a term of the query.
 
     The index's postings of the queries' terms are kept by a join that the query
     side's size decides; document frequencies are those the index keeps, else they
-    come from those postings alone.
+    come from those postings alone. ``stemmed``: for an index of stems.
     """
-    terms = small_side(question_terms(queries, column))
+    terms = small_side(stemmed_terms(queries, column) if stemmed else question_terms(queries, column))
     hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = index.terms.join(terms.select("term").distinct(), "term", "left_semi") if index.terms is not None else hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(index.stats)  # one row

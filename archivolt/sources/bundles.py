@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,53 @@ def write_bundle(documents: DataFrame, folder: str) -> None:
     documents.withColumn("top", F.substring_index("path", "/", 1)).write.mode("overwrite").partitionBy("top").parquet(folder)
 
 
+def confined(folder: str, path: str) -> str:
+    """``path`` below ``folder``, with links and ``..`` resolved; an error if it leads out of it."""
+    root = os.path.realpath(folder)
+    whole = os.path.realpath(os.path.join(root, path))
+    if whole != root and not whole.startswith(root + os.sep):
+        raise ValueError(f"{path} leads out of {folder}")
+    return whole
+
+
+def write_atomic(folder: str, path: str, text: str) -> str:
+    """Write a file below ``folder`` so that readers see the old or the new one, never a part."""
+    whole = confined(folder, path)
+    os.makedirs(os.path.dirname(whole), exist_ok=True)
+    handle, beside = tempfile.mkstemp(dir=os.path.dirname(whole), prefix=".", suffix=".part")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as fh:
+            fh.write(text)
+            fh.flush()
+            os.fsync(fh.fileno())
+        os.replace(beside, whole)
+    except BaseException:
+        os.unlink(beside)
+        raise
+    return whole
+
+
+#: What a new folder of notes begins with.
+SCAFFOLD = {"index.md": "# Index\n", "{slug}/index.md": "# {slug}\n\n## Decisions\n\n- None.\n\n## Open questions\n\n- None.\n", "{slug}/sessions/.keep": ""}
+
+
+def init_folder(folder: str, slug: str) -> list[str]:
+    """Lay out a folder of notes for a project; the files that were made. Nothing that is there is touched."""
+    if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*", slug):
+        raise ValueError(f"{slug!r} is no slug")
+    made = []
+    for name, text in SCAFFOLD.items():
+        whole = confined(folder, name.format(slug=slug))
+        os.makedirs(os.path.dirname(whole), exist_ok=True)
+        try:
+            with open(whole, "x", encoding="utf-8") as fh:
+                fh.write(text.format(slug=slug))
+            made.append(whole)
+        except FileExistsError:
+            continue
+    return made
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """path (within ``folder``), text of all markdown files of a folder tree."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)

@@ -57,3 +57,46 @@ def test_chunks_for_a_benchmark(spark):
     rows = [("a", f"a#{i}", "w " * 100) for i in range(3)] + [("b", "b#0", "w " * 50)] + [("c", "c#0", "w " * 300), ("c", "c#1", "short")]
     got = evaluation.collect_chunks(spark.createDataFrame(rows, "concept_id string, chunk_id string, text string"), 10)
     assert {r["chunk_id"] for r in got.collect()} == {"a#0", "a#1", "a#2", "c#0"}
+
+
+def test_stemmed_search_against_brute_force(spark):
+    import math
+
+    from archivolt.functions.stemmer import stem
+    from archivolt.operators import index
+
+    texts = {"a": "connecting connected connections", "b": "the connection of relational databases", "c": "nothing here", "d": "relate related relating connect", "e": ""}
+    chunks = spark.createDataFrame([(k, "", "", v) for k, v in texts.items()], "chunk_id string, title string, heading_path string, text string")
+    queries = spark.createDataFrame([("q", "connected relational connects")], "qid string, q string")
+    words = {k: [stem(w) for w in v.split()] for k, v in texts.items()}
+    mean, asked = sum(map(len, words.values())) / len(words), [stem(w) for w in "connected relational connects".split()]
+    want = {}
+    for k, own in words.items():
+        for w in set(asked):
+            df = sum(w in o for o in words.values())
+            if w in own:
+                idf = max(math.log((len(words) - df + 0.5) / (df + 0.5)), 1e-6)
+                want[k] = want.get(k, 0) + asked.count(w) * idf * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean))
+    got = {r["chunk_id"]: r["score"] for r in retrieval.bm25(index.stemmed(index.build_index(chunks)), queries, stemmed=True).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and set(got) == {"a", "b", "d"}
+
+
+def test_benchmark_compares_embedders_on_the_same_probes(spark):
+    import pandas as pd
+
+    def letters(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(t.lower().count(c)) + 0.01 for c in "abcdefghijklmnopqrstuvwxyz"])
+
+    def blind(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [1.0, float(len(t) % 7), 2.0])
+
+    rng = np.random.default_rng(1)
+    topics = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(4)) for _ in range(60)]
+    rows = [(f"c{i:02}", " ".join([f"Of {t} it holds {t} nine ten."] + [f"It says {t} {j} again." for j in range(6)])) for i, t in enumerate(topics)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    results = evaluation.benchmark(chunks, {"letters": letters, "blind": blind}, probes=20)
+    got = {r["embedder"]: r for r in results.collect()}
+    assert got["letters"]["mrr"] > got["blind"]["mrr"] and set(got["letters"].asDict()) == {"embedder", "recall_1", "recall_5", "recall_10", "mrr", "seconds"}
+    assert evaluation.benchmark_report(results).first()["best"] == "letters"
+    with pytest.raises(ValueError):
+        evaluation.benchmark(chunks.limit(10), {"letters": letters})

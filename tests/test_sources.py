@@ -186,3 +186,27 @@ def test_settings(tmp_path):
     (tmp_path / "d.toml").write_text("nope = 1\n")
     with pytest.raises(ValueError):
         load(tmp_path / "d.toml")
+
+
+def test_files_are_written_whole_and_inside(spark, tmp_path):
+    from archivolt.operators import enrich as en
+    from archivolt.operators.reports import folder_megabytes
+    from archivolt.sources import bundles
+
+    whole = bundles.write_atomic(str(tmp_path), "a/b.md", "one")
+    bundles.write_atomic(str(tmp_path), "a/b.md", "two")
+    assert open(whole).read() == "two" and [p.name for p in (tmp_path / "a").iterdir()] == ["b.md"]
+    (tmp_path / "out").symlink_to("/tmp")
+    for path in ("../x.md", "/etc/passwd", "a/../../x", "out/x.md"):
+        with pytest.raises(ValueError):
+            bundles.write_atomic(str(tmp_path), path, "x")
+    made = bundles.init_folder(str(tmp_path / "v"), "my-project")
+    (tmp_path / "v/index.md").write_text("mine")
+    assert len(made) == 3 and bundles.init_folder(str(tmp_path / "v"), "my-project") == [] and (tmp_path / "v/index.md").read_text() == "mine"
+    with pytest.raises(ValueError):
+        bundles.init_folder(str(tmp_path), "No Slug")
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big/x").write_bytes(b"0" * 500_000)
+    assert folder_megabytes(spark, str(tmp_path / "big")) == 0.5 and folder_megabytes(spark, str(tmp_path / "none")) == 0
+    schema = en.response_schema()
+    assert set(schema["required"]) == set(schema["properties"]) and schema["properties"]["entities"]["items"]["properties"]["kind"]["enum"] == list(en.KINDS)
