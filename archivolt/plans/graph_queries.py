@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import bundle, catalogue, graph
 from ..session import read_table
-from .registry import query
+from .registry import ORACLES, query
 from .sql import FILES, LIVE, MENTIONS, RECORDS, TAGS, TERMS, with_
 
 _REAL = MENTIONS + f", r AS (SELECT * FROM m WHERE NOT (regexp_matches(trim(name), '^(https?://|www\\.)', 'i') OR regexp_matches(trim(name), '{tx.FILE_EXTENSIONS}', 'i') OR (regexp_matches(trim(name), '{tx.SCRIPT_EXTENSIONS}', 'i') AND NOT regexp_matches(regexp_replace(trim(name), '{tx.SCRIPT_EXTENSIONS}', '', 'i'), '^\\p{{Lu}}[\\p{{L}}\\p{{N}}]*$'))))"
@@ -251,7 +251,12 @@ def agg16_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+_BODIES = r"""u AS (SELECT hash AS source_hash, min(path) AS path FROM f WHERE hash IS NOT NULL GROUP BY 1),
+en AS (SELECT concept_id, string_agg('- ' || x, chr(10) ORDER BY i) AS ents FROM (SELECT concept_id, x, min(i) AS i FROM (SELECT concept_id, i, (e ->> 'name') || ' (' || (e ->> 'kind') || ')' AS x FROM (SELECT concept_id, unnest(CAST(json_extract(entities, '$[*]') AS JSON[])) AS e, generate_subscripts(CAST(json_extract(entities, '$[*]') AS JSON[]), 1) AS i FROM l WHERE entities IS NOT NULL)) WHERE x IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+li AS (SELECT b.concept_id, string_agg('- [' || coalesce(l.title, peer) || '](/' || peer || '.md)', chr(10) ORDER BY place) AS peers FROM bnd b JOIN l ON l.concept_id = peer GROUP BY 1)"""
+
+
+@query("WITH bnd AS (" + ORACLES["bnd1_related"] + "), " + with_(FILES, LIVE, _BODIES).removeprefix("WITH ") + r"""SELECT l.concept_id, '# Summary' || chr(10) || chr(10) || coalesce(description, '') || chr(10) || chr(10) || '# Source' || chr(10) || chr(10) || coalesce('file://' || replace(replace(replace(url_encode(path), '%2F', '/'), '~', '%7E'), '%2A', '*'), 'unknown') || chr(10) || chr(10) || '# Entities' || chr(10) || chr(10) || coalesce(ents, '- None.') || chr(10) || chr(10) || '# Related' || chr(10) || chr(10) || coalesce(peers, '- None.') AS body FROM l LEFT JOIN u USING (source_hash) LEFT JOIN en USING (concept_id) LEFT JOIN li USING (concept_id)""")
 def snk4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = _live(spark, sf_dir)
     paths = _files(spark, sf_dir).filter("hash IS NOT NULL").groupBy(F.col("hash").alias("source_hash")).agg(F.min("path").alias("path"))

@@ -137,7 +137,16 @@ def ch3_hard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("piece").cast("bigint").alias("piece"), "part")
 
 
-@query()
+_HEADED = r"""d0 AS (SELECT doc_id, regexp_replace(text, '\A<!--[ \t\r\n]*[^ \t\r\n]+ extraction.*?-->\s*', '', 's') AS x FROM documents WHERE text IS NOT NULL),
+d1 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?m)^<!-- page \d+ -->[ \t\n\v\f\r]*$', '', 'g'), '^[ \t\n\v\f\r]+', ''), '[ \t\n\v\f\r]+$', '') AS x FROM d0),
+n AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM d1),
+h AS (SELECT *, length(regexp_extract(line, '^(#{1,6})\s+(.*?)\s*#*$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})\s+(.*?)\s*#*$', 2), ' ') AS title FROM n),
+s AS (SELECT *, CAST(sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS sec FROM h), hd AS (SELECT doc_id, sec, level, title FROM s WHERE level > 0),
+p AS (SELECT a.doc_id, a.sec, string_agg(g.title, ' > ' ORDER BY g.sec) AS path FROM hd a JOIN hd g ON g.doc_id = a.doc_id AND g.sec <= a.sec WHERE NOT EXISTS (SELECT 1 FROM hd x WHERE x.doc_id = g.doc_id AND x.sec > g.sec AND x.sec <= a.sec AND x.level <= g.level) GROUP BY 1, 2),
+b AS (SELECT doc_id, sec, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[ \t\n\v\f\r]+', ''), '[ \t\n\v\f\r]+$', '') AS body FROM s WHERE level = 0 GROUP BY 1, 2)"""
+
+
+@query(with_(_HEADED) + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INTEGER) AS n, coalesce(path, '') AS path, body FROM b LEFT JOIN p USING (doc_id, sec) WHERE body <> ''")
 def ch2_heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.heading_sections(chunking.strip_artifacts(F.col("text")))).alias("n", "s"))
     return rows.select("doc_id", "n", F.col("s.path").alias("path"), F.col("s.body").alias("body"))
