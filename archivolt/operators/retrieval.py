@@ -208,14 +208,15 @@ def final_score(rerank_score: Column, rrf: Column) -> Column:
 
 def search(
     chunks: DataFrame, index: KeywordIndex, queries: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[str, str], float] | None = None, limit: int = LIMIT, hops: int = 1,
-    sensitivity: str | None = None, source: str | None = None, concept_type: str | None = None, strict_filters: bool = False,
+    sensitivity: str | None = None, source: str | None = None, concept_type: str | None = None, strict_filters: bool = False, model: str | None = None,
 ) -> DataFrame:
     """The whole pipeline for queries (qid, q and, with ``vectors``, qvec): one row for each of the ``limit`` best hits.
 
     Filters restrict the vectors before they are ranked and the keyword hits after
     scoring (statistics are of the whole index). Chunks added by the graph are only
     filtered with ``strict_filters``. Without vectors the keyword ranking alone
-    answers. A limit of 0 means the default.
+    answers. A limit of 0 means the default. ``model``: the column of both sides that
+    names the vectors' model.
     """
     wanted = {"sensitivity": sensitivity, "source": source, "concept_type": concept_type}
     allowed = filters(chunks, **wanted)
@@ -223,7 +224,7 @@ def search(
     if vectors is None:
         near = words.select("qid", "chunk_id", "rank").limit(0)
     else:
-        near = nearest(vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), queries)
+        near = nearest(vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), queries, model=model)
     fused = fuse(near, words)
     rows = expand(fused, filters(chunks, **wanted) if strict_filters else chunks, edges, hops=hops) if edges is not None and hops else fused.withColumn("from_graph", F.lit(False))
     top = cut_candidates(rows).drop("place")

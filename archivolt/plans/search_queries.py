@@ -1,7 +1,7 @@
 """Queries that search: keyword and vector rankings, fusion, grouping, evaluation.
 
 The questions are the titles of the runbooks; a question's vector is that of the
-runbook's first usable chunk.
+runbook's first usable chunk, and is compared with the vectors of its model.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from .graph_queries import _LINKS, _graph_sql
 from .registry import query
 from .sql import CHUNKS, LIVE, with_
 
-_MODEL = "minnow-embed-a"
-_V = f"v AS (SELECT chunk_id, min(vector) AS vector FROM chunks JOIN embedders USING (model) WHERE model = '{_MODEL}' AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1)"
+_V = "v AS (SELECT chunk_id, model, min(vector) AS vector FROM chunks JOIN embedders USING (model) WHERE len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1, 2)"
 _Q = "q AS (SELECT concept_id AS qid, title AS q FROM l WHERE concept_type = 'Runbook')"
-_QV = "qv AS (SELECT qid, arg_min(vector, chunk_index) AS qvec FROM q JOIN k ON k.concept_id = qid JOIN v USING (chunk_id) GROUP BY 1)"
+_QV = "qv AS (SELECT qid, v.model, vector AS qvec FROM q JOIN k ON k.concept_id = qid JOIN v USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY chunk_index, v.model) = 1)"
 _BM = r"""qt AS (SELECT qid, term, count(*) AS weight FROM (SELECT qid, unnest(regexp_extract_all(lower(x), '[\p{L}\p{N}]+')) AS term FROM (SELECT qid, unnest(list_filter(regexp_split_to_array(regexp_replace(q, '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1)) AS x FROM q)) GROUP BY ALL),
 ct AS (SELECT chunk_id, regexp_extract_all(lower(title || ' ' || coalesce(heading_path, '') || ' ' || text), '[\p{L}\p{N}]+') AS terms FROM k),
 st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM ct), po AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(terms) AS term FROM ct) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
 bs AS (SELECT qid, chunk_id, round(sum(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len(terms) / mean)) * weight), 6) AS score FROM qt JOIN po USING (term) JOIN df USING (term) JOIN ct USING (chunk_id), st GROUP BY ALL),
 br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM bs QUALIFY rank <= 50)"""
-_VR = "vs AS (SELECT qid, chunk_id, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(qvec AS DOUBLE[])), 6) AS score FROM v, qv), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= 50)"
+_VR = "vs AS (SELECT qid, chunk_id, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(qvec AS DOUBLE[])), 6) AS score FROM v JOIN qv ON v.model = qv.model), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= 50)"
 _FU = "fu AS (SELECT qid, chunk_id, vr.rank AS vector_rank, br.rank AS bm25_rank, round(coalesce(1e0 / (60 + vr.rank), 0) + coalesce(1e0 / (60 + br.rank), 0), 6) AS rrf FROM vr FULL JOIN br USING (qid, chunk_id))"
 _CU = "cu AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) <= 30), hi AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS place FROM cu JOIN k USING (chunk_id) QUALIFY place <= 15)"
 _BASE = (LIVE, CHUNKS, _Q)
@@ -42,15 +41,15 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vector")
-    rows = read_table(spark, sf_dir, "chunks").filter(F.col("model") == _MODEL).join(read_table(spark, sf_dir, "embedders"), "model")
+    rows = read_table(spark, sf_dir, "chunks").join(read_table(spark, sf_dir, "embedders"), "model")
     rows = rows.filter((F.size(v) == F.col("dim")) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("chunk_id").agg(F.min("vector").alias("vector"))
+    return rows.groupBy("chunk_id", "model").agg(F.min("vector").alias("vector"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, chunks = _questions(spark, sf_dir), _chunks(spark, sf_dir).select("chunk_id", F.col("concept_id").alias("qid"), "chunk_index")
-    first = q.join(chunks, "qid").join(_vectors(spark, sf_dir), "chunk_id").groupBy("qid").agg(F.min_by("vector", "chunk_index").alias("qvec"))
-    return q.join(first, "qid", "left")
+    first = q.join(chunks, "qid").join(_vectors(spark, sf_dir), "chunk_id").groupBy("qid").agg(F.min_by(F.struct(F.col("vector").alias("qvec"), "model"), F.struct("chunk_index", "model")).alias("v"))
+    return q.join(first, "qid", "left").select("qid", "q", "v.qvec", "v.model")
 
 
 def _long(*columns: str):
@@ -62,7 +61,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir).filter("qvec IS NOT NULL"))
+    return retrieval.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir).filter("qvec IS NOT NULL"), model="model")
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +70,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    return retrieval.search(chunks, index.build_index(chunks), _asked(spark, sf_dir), _vectors(spark, sf_dir))
+    return retrieval.search(chunks, index.build_index(chunks), _asked(spark, sf_dir), _vectors(spark, sf_dir), model="model")
 
 
 @query(with_(*_BASE, _BM) + "SELECT qid, chunk_id, score, rank FROM br")
@@ -151,7 +150,7 @@ _RR = f"rr AS (SELECT qid, chunk_id, rrf, CAST(len(list_intersect({_WORDS.format
 @query(with_(*_ALL, _CU, _RR) + "SELECT qid, chunk_id, round(rerank, 6) AS rerank, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS place FROM re QUALIFY place <= 15")
 def rt5_reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    hits = retrieval.search(chunks, index.build_index(chunks), _asked(spark, sf_dir), _vectors(spark, sf_dir), reranker=retrieval.lexical_overlap)
+    hits = retrieval.search(chunks, index.build_index(chunks), _asked(spark, sf_dir), _vectors(spark, sf_dir), reranker=retrieval.lexical_overlap, model="model")
     return hits.select("qid", "chunk_id", F.round("rerank", 6).alias("rerank"), "score", *_long("place"))
 
 
@@ -178,10 +177,10 @@ def ev1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import cut
 
     asked = _asked(spark, sf_dir)
-    open_ = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("none/"), F.col("n_nationkey").cast("string")).alias("qid"), F.concat(F.lower("n_name"), F.lit(" zzyzx")).alias("q"), F.lit(None).cast(asked.schema["qvec"].dataType).alias("qvec"))
+    open_ = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("none/"), F.col("n_nationkey").cast("string")).alias("qid"), F.concat(F.lower("n_name"), F.lit(" zzyzx")).alias("q"), F.lit(None).cast(asked.schema["qvec"].dataType).alias("qvec"), F.lit(None).cast("string").alias("model"))
     asked = cut(asked.unionByName(open_))
     chunks = _chunks(spark, sf_dir)
-    hits = cut(retrieval.search(chunks, index.build_index(chunks), asked, _vectors(spark, sf_dir), reranker=retrieval.lexical_overlap).select("qid", "concept_id", "place", "score"))
+    hits = cut(retrieval.search(chunks, index.build_index(chunks), asked, _vectors(spark, sf_dir), reranker=retrieval.lexical_overlap, model="model").select("qid", "concept_id", "place", "score"))
     none = F.array().cast("array<string>")
     questions = asked.select("qid", F.when(F.startswith("qid", F.lit("none/")), none).otherwise(F.array("qid")).alias("concepts"))
     best = hits.groupBy("qid").agg(F.max("score").alias("best_score"))
@@ -196,7 +195,7 @@ def ev2_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     built, edges = index.build_index(chunks), cut(graph.link_edges(read_table(spark, sf_dir, "links_to"), read_table(spark, sf_dir, "concepts")))
     built = index.KeywordIndex(cut(built.postings), cut(built.lengths), cut(built.stats))
     out = None
-    for label, options in {"full": {"vectors": _vectors(spark, sf_dir), "edges": edges, "reranker": retrieval.lexical_overlap}, "no reranker": {"vectors": _vectors(spark, sf_dir), "edges": edges}, "no graph": {"vectors": _vectors(spark, sf_dir), "reranker": retrieval.lexical_overlap}, "keywords": {}}.items():
+    for label, options in {"full": {"model": "model", "vectors": _vectors(spark, sf_dir), "edges": edges, "reranker": retrieval.lexical_overlap}, "no reranker": {"model": "model", "vectors": _vectors(spark, sf_dir), "edges": edges}, "no graph": {"model": "model", "vectors": _vectors(spark, sf_dir), "reranker": retrieval.lexical_overlap}, "keywords": {}}.items():
         hits = cut(retrieval.search(chunks, built, asked, **options).select("qid", "concept_id", "place", "score"))
         best = hits.groupBy("qid").agg(F.max("score").alias("best_score"))
         one = evaluation.metrics(evaluation.question_results(asked.select("qid", F.array("qid").alias("concepts")), evaluation.concept_ranks(hits), best)).withColumn("variant", F.lit(label))
