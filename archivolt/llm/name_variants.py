@@ -36,6 +36,8 @@ from .components import connected_components
 COMMON, FIRST = 12, 3
 #: Nodes of a block that are matched in one task; larger blocks are cut into parts.
 BLOCK_ROWS = 2_000
+#: Comparisons of a block up to which looking up what to compare costs more than comparing.
+DIRECT = 64
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,11 +175,12 @@ def block_edges(kind: str, left: list[tuple[str, names.Name]], right: list[tuple
     def marks(name: names.Name) -> set[str]:
         return {d for w in name.words for d in names.deletions(w)} if person else {w[n] for w in name.words for n in range(min(2, len(w)))} or {""}
 
-    for i, (_, name) in enumerate(other):
+    few = len(left) * len(other) <= DIRECT
+    for i, (_, name) in enumerate(() if few else other):
         for m in marks(name):
             index.setdefault(m, []).append(i)
     for i, (a, name) in enumerate(left):
-        for j in sorted({j for m in marks(name) for j in index.get(m, ()) if right is not None or j < i}):
+        for j in range(i if right is None else len(other)) if few else sorted({j for m in marks(name) for j in index.get(m, ()) if right is not None or j < i}):
             b, found = other[j]
             if a != b and forest.root(a) != forest.root(b) and same(name, found):
                 forest.join(a, b)
@@ -216,8 +219,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def matches(blocks: DataFrame, block_rows: int) -> DataFrame:
     """a, b: nodes that match in some block."""
-    large = blocks.groupBy("block").count().filter(F.col("count") > block_rows).select("block", F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
-    rows = blocks.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    shared = blocks.groupBy("block").count().filter(F.col("count") > 1).select("block", F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
+    rows = blocks.join(shared, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "head", "words", "weights")
     return rows.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "node").mapInArrow(_match, "a string, b string")
