@@ -21,6 +21,7 @@ is absent. Whole texts are judged.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -269,7 +270,7 @@ def _survey(labels):
                 for v, y, n in zip(*pattern.tolist(), times.tolist()):
                     counts[v, y] += n
                 keys = s.keys()
-                bag = np.array([hash(i) & 0x7FFFFFFFFFFFFFFF for i in own], dtype=np.int64)[s.text]
+                bag = np.array([i & 0x7FFFFFFFFFFFFFFF if isinstance(i, int) else zlib.crc32(str(i).encode("utf-8", "replace")) for i in own], dtype=np.int64)[s.text]
                 none, nothing = np.zeros(len(keys), int), np.zeros(len(keys), int)
                 samplers["labelled"].add(s, np.flatnonzero(label != 0), keys, [label, bag])
                 samplers["voted"].add(s, np.flatnonzero((label == 0) & (s.votes != 0)), keys, [none, nothing])

@@ -89,3 +89,11 @@ def test_the_classifier_reaches_what_no_voter_sees(spark):
     score = {r["doc_id"]: r["score"] for r in abuse.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()}
     held_out = [i for i in range(200, 400)]
     assert np.mean([score[i] >= 0.5 for i in held_out if i % 4 == 0]) >= 0.9 and np.mean([score[i] >= 0.5 for i in held_out if i % 4]) <= 0.1
+
+
+def test_ids_of_any_kind_and_repeated_documents(spark):
+    rows = [(f"d{i}", BAD[i % 3] if i % 5 == 0 else f"The ledger {i} was balanced.", 1) for i in range(60)] + [(None, BAD[0], 1), ("d0", BAD[0], 2)]
+    labels = spark.createDataFrame([(f"d{i}", int(i % 5 == 0)) for i in range(30)], "doc_id string, abusive int")
+    got = abuse.score_documents(spark.createDataFrame(rows, "doc_id string, text string, score int"), labels).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] in ("d0", None)}) == 1
+    assert all((r["score"] >= 0.5) == (r["doc_id"] is None or int(r["doc_id"][1:]) % 5 == 0) for r in got)
