@@ -61,6 +61,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the checkpoint of a table made by :func:`cut` that nothing will read again; what was made of it must
+    itself be materialised, as it can then not be computed anew. Does nothing where there is no such checkpoint."""
+    plan = df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
