@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, is_small
+from ..session import cut, is_small, release
 
 #: Rows that a cell should hold, and from which it is split into blocks.
 CELL_ROWS, SPLIT_ROWS = 2048, 16384
@@ -336,13 +336,14 @@ def similar_vectors(
     """chunk_id, neighbour_id, similarity, rank: the ``k`` most similar other
     chunks of the same model, of cosine ``min_similarity`` or more."""
     usable = cut(usable_vectors(chunks, embedders))
-    member = usable.groupBy("model", "chunk_id").agg(F.min("gid").alias("gid")).select("gid", "chunk_id")
+    member = cut(usable.groupBy("model", "chunk_id").agg(F.min("gid").alias("gid")).select("gid", "chunk_id"))
     group = Window.partitionBy("gid").orderBy("chunk_id")
     heads = member.withColumn("position", F.row_number().over(group)).filter(F.col("position") <= k + 1)
     heads = heads.groupBy("gid").agg(F.array_sort(F.collect_list("chunk_id")).alias("heads"))
     heads = cut(heads.orderBy(F.col("heads")[0]).withColumn("id", F.monotonically_increasing_id()))
     vectors = usable.groupBy("gid").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
     vectors = cut(vectors.join(heads.select("gid", "id"), "gid").select("model", "id", "vec"))
+    release(usable)
 
     cells, sizes = cells_of(vectors, probes, cell_rows, most_pivots)
     large = cut(sizes.filter(F.col("n") > split_rows).select("cell", "part", F.ceil(F.col("n") / split_rows).cast("int").alias("blocks")))
