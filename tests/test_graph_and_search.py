@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.operators import cypher, evaluation, graph, index, retrieval
+from archivolt.operators import bundle, cypher, evaluation, graph, index, retrieval
 
 CONCEPTS = "source_hash string, concept_id string, concept_type string, title string, description string, tags string, entities string, sensitivity string, status string, enrich_status string, error string, model string, generated_at string, ingest_run string, written_at string"
 
@@ -117,3 +117,15 @@ def test_metrics(spark):
     results = spark.createDataFrame([(1, True, 1, 0.5), (2, True, 4, 0.1), (3, True, None, None), (4, False, None, 0.1)], "qid int, answerable boolean, rank int, best_score double")
     m = evaluation.metrics(results).first()
     assert (m["hit_1"], m["hit_5"], m["mrr"], m["abstention"]) == (round(1 / 3, 6), round(2 / 3, 6), round(1.25 / 3, 6), 1.0)
+
+
+def test_sharing_pairs_meet_once_however_many_share_a_term(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = {f"c{i:02}": {"common"} | set(rng.sample("abcdefgh", rng.randint(0, 5))) for i in range(40)} | {"none": {"own"}}
+    edges = spark.createDataFrame([(c, t) for c, ts in sets.items() for t in ts], "concept_id string, tag string")
+    want = sorted((a, b, sorted(sets[a] & sets[b])[:3]) for a in sets for b in sets if a < b and sets[a] & sets[b])
+    for held in (1_000, 7):
+        assert sorted(map(tuple, bundle.sharing_pairs(edges, "tag", held=held).collect())) == want
+    assert bundle.sharing_pairs(edges.limit(0), "tag").count() == 0
