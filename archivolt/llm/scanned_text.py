@@ -398,7 +398,8 @@ def learn(rows: DataFrame, near: float = NEAR, link_rows: int = LINK_ROWS, vecto
     most = words.agg(F.max("n")).first()[0] or 0
     plain = [r["word"] for r in words.filter(F.col("n") * RATIO > most).orderBy(F.desc("n"), "word").select("word").limit(PLAIN).collect()]
     asked = asked.filter(~F.col("word").isin(plain))
-    return asked.join(facts, "word").groupBy("tid").agg(F.collect_list(F.struct("word", "n", "options")).alias("words")), vectors
+    # both sides grow with the texts, and Spark takes ``asked`` for small, as it cannot know how many words a text has: neither is sent to all
+    return asked.hint("merge").join(facts, "word").groupBy("tid").agg(F.collect_list(F.struct("word", "n", "options")).alias("words")), vectors
 
 
 def _around(words: list[str], at: int, vectors: dict[str, int], matrix: np.ndarray) -> np.ndarray | None:

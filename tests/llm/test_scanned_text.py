@@ -76,3 +76,9 @@ def test_a_hot_word_and_long_words(spark):
     more += [(f"l{i}", f"because {long} was moved before the archive\n" * 10, "plain", 1) for i in range(3)] + [("m", f"<!-- page 1 -->\nbecause {long.replace('c', 'e')} was moved before the archive", "ocr", 1)]
     got = {(r["extract_path"], r["line_no"], r["noise"]) for r in st.noisy_lines(extracts(spark, more)).collect()}
     assert ("m", 2, "misread") in got and not any(p.startswith(("hot", "l")) for p, _, _ in got)
+
+
+def test_the_words_of_the_texts_are_not_sent_to_the_driver(spark, tmp_path):
+    extracts(spark).write.parquet(str(tmp_path / "extracts"))
+    words, _ = st.learn(st.numbered(spark.read.parquet(str(tmp_path / "extracts"))))
+    assert "BroadcastHashJoin" not in words._jdf.queryExecution().executedPlan().toString()
