@@ -1,6 +1,6 @@
 """Noise in text from scanned pages: running lines, page numbers, broken and misread words.
 
-Skip-gram vectors are learnt from a bounded sample of lines. All texts are counted:
+Skip-gram vectors are learnt from all lines. All texts are counted:
 how often each word occurs, how often in texts that are born digital (no page
 markers and no OCR engine), and the sum of the vectors around it. So rare words
 have a place among the vectors too: that of their contexts. A rare word is linked
@@ -34,8 +34,8 @@ from ..session import cut
 from .glyphs import Trie, first_letters
 from .page_layout import BREAKS, AnyWord, Line, furniture_word, read_lines
 
-#: Lines that the vectors are learnt from at most, and words that get one at most.
-TRAIN_LINES, TRAIN_WORDS = 200_000, 50_000
+#: Words that get a vector at most, and words of text that one task learns from at most.
+TRAIN_WORDS, TASK_WORDS = 50_000, 10_000_000
 #: How much more frequent a word must be than its misreading, and how near their contexts (cosine).
 RATIO, NEAR = 8, 0.1
 #: Length of the skip-gram vectors, and words on each side that are context.
@@ -314,22 +314,29 @@ def numbered(extracts: DataFrame) -> DataFrame:
     return cut(texts(extracts).withColumn("tid", F.monotonically_increasing_id()))
 
 
-def skip_gram_vectors(rows: DataFrame, most: int = TRAIN_LINES) -> tuple[dict[str, int], np.ndarray]:
-    """Words and their skip-gram vectors around the mean, from a sample of at most about ``most`` lines of all texts."""
+def skip_gram_vectors(rows: DataFrame, most: int = TRAIN_WORDS) -> tuple[dict[str, int], np.ndarray]:
+    """Words and their skip-gram vectors around the mean, learnt from all lines of all texts: those of the ``most`` words
+    that occur most often, 3 times at least; of words that are equally frequent all or none."""
     from pyspark.ml.feature import Word2Vec
 
-    count = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    lines = rows.select("tid", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    if count > most:
-        lines = lines.filter(F.pmod(F.xxhash64("tid", "at", F.lit(29)), F.lit(1 << 30)) < int((1 << 30) * most / count))
-    trimmed = F.transform(F.split(F.lower("line"), r"(?U)\s+"), lambda w: F.regexp_replace(w, f"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", ""))
-    sentences = cut(lines.select(F.filter(trimmed, lambda w: w != "").alias("words")).filter(F.size("words") > 1))
-    words = sentences.select(F.explode("words").alias("word")).groupBy("word").count()
-    least = words.filter(F.col("count") >= 3).orderBy(F.desc("count")).limit(TRAIN_WORDS).agg(F.min("count"), F.sum("count")).first()
-    if least[0] is None:
+    # the lines are cut into words anew where they are read: stored, they take several times the texts' disk
+    line = F.explode(F.split(F.lower("text"), "\n"))
+    edge = re.escape(_EDGE)
+    bare = F.regexp_replace("line", rf"(?U)(^|\s)[{edge}]+|[{edge}]+(?=\s|$)", "$1")
+    sentences = rows.select(line.alias("line")).select(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "").alias("words")).filter(F.size("words") > 1)
+    words = sentences.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= 3)
+    words = cut(words)
+    steps = words.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).limit(most + 1).collect()  # counts that differ
+    least, total, held = None, 0, 0
+    for r in steps:
+        held += r["n"]
+        if held > most and least is not None:
+            break
+        least, total = r["count"], total + r["count"] * r["n"]
+    if least is None:
         return {}, np.zeros((0, DIMENSIONS), np.float32)
-    parts = max(1, min(16, math.ceil(least[1] / 500_000)))
-    trainer = Word2Vec(vectorSize=DIMENSIONS, minCount=int(least[0]), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=17, stepSize=0.025, inputCol="words", outputCol="vector", maxSentenceLength=1000)
+    parts = max(1, min(16, math.ceil(total / 500_000)), math.ceil(total / TASK_WORDS))
+    trainer = Word2Vec(vectorSize=DIMENSIONS, minCount=int(least), windowSize=WINDOW, maxIter=1, numPartitions=parts, seed=17, stepSize=0.025, inputCol="words", outputCol="vector", maxSentenceLength=1000)
     found = [(r["word"], r["vector"].toArray()) for r in trainer.fit(sentences).getVectors().collect()]  # at most about TRAIN_WORDS
     found.sort(key=lambda x: x[0])
     matrix = np.stack([v / (np.linalg.norm(v) or 1.0) for _, v in found])

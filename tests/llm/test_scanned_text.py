@@ -82,3 +82,13 @@ def test_the_words_of_the_texts_are_not_sent_to_the_driver(spark, tmp_path):
     extracts(spark).write.parquet(str(tmp_path / "extracts"))
     words, _ = st.learn(st.numbered(spark.read.parquet(str(tmp_path / "extracts"))))
     assert "BroadcastHashJoin" not in words._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_learnt_from_all_lines(spark):
+    """More lines than were once learnt from; words that stand in 3 of them have a vector, rarer ones have none."""
+    rare = {(k, 400 * i + k): f"rare{i}" for i in range(24) for k in range(3)}
+    rows = [(t, "\n".join(f"alpha {rare.get((t, n), 'beta')}" for n in range(22_000)) + f"\nalpha once{t % 2}") for t in range(10)]
+    words, matrix = st.skip_gram_vectors(spark.createDataFrame(rows[:3], "tid long, text string").unionByName(spark.createDataFrame([(t + 10, x) for t, x in rows[3:]], "tid long, text string")))
+    assert set(words) == {"alpha", "beta", "once0", "once1", *(f"rare{i}" for i in range(24))} and matrix.shape == (28, st.DIMENSIONS)
+    fewer, _ = st.skip_gram_vectors(spark.createDataFrame(rows[:3], "tid long, text string"), most=20)
+    assert set(fewer) == {"alpha", "beta"}  # words that are equally frequent: all or none
