@@ -1,19 +1,27 @@
 """All similar pairs between set-valued records, by recursive chosen-path splitting.
 
-Records with the same set are one class. In each of several independent trees, every class is put into the nodes of some of its own tokens: a token of a
-set of n is chosen where its hash, under the node's path, is below
-1 / (threshold * n), so that two sets share a chosen token at each level with
-about the chance that keeps similar pairs together (1 expected shared child or
-more at the threshold) and parts others. Nodes are split again until they are
-small; a small node is compared by brute force. Nodes too large for one task are
-split by further levels on the cluster, and what is still too large after
-``levels`` of them is cut into blocks whose pairs are compared tile by tile, so
-no node is dropped or capped. Every reported pair is verified on the whole sets.
-
-Repeated trees reach the recall: two sets at the threshold share one child a level
-on average, so that they stay together through d levels with the chance that a
-critical branching process survives d generations, at least; the number of trees
-is what the ``recall`` asked for needs at the greatest depth.
+Records with the same set are one class. At the root a class is put into the nodes
+of its first n - needed + 1 tokens, in an order of all tokens that has the rare ones
+first and then the frequent ones by their number: of two similar sets, the larger of
+n tokens, ``needed`` = threshold * n tokens or more are shared, so that the first
+token they share is among these of both. The root is thus exact and made once; the
+node of a rare token is small and compared by brute force.
+
+Nodes of frequent tokens are split again until they are small: a token of a set that
+needs m more shared tokens is chosen where its hash, under the node's path, is below
+1 / m, so that two sets share a chosen token at each level with about the chance
+that keeps similar pairs together (1 expected shared child or more at the threshold)
+and parts others; a token that is on the path, or that all rows of a node have,
+parts nothing and is not chosen. A small node is compared by brute force. Nodes too
+large for one task are split by further levels on the cluster, and what is still too
+large after ``levels`` of them is cut into blocks whose pairs are compared tile by
+tile, so no node is dropped or capped. Every reported pair is verified on the whole
+sets.
+
+Below the root, repeated trees reach the recall: two sets at the threshold share one
+child a level on average, so that they stay together through d levels with the
+chance that a critical branching process survives d generations, at least; the
+number of trees is what the ``recall`` asked for needs at the greatest depth.
 
 Results for odd input: null sets, null members and members that are empty after
 cleaning are dropped; an empty set makes no pair. Rows of one id are united.
@@ -31,8 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..session import cut
+from ..session import cut, is_small
 
 #: Share of the pairs at the threshold to be found, the size of a node that is compared by brute force, levels within a task.
 RECALL, BRUTE, DEPTH = 0.95, 96, 4
@@ -56,14 +65,19 @@ def clean_member(column: Column) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(column, r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
-def concept_sets(concepts: DataFrame) -> DataFrame:
-    """concept_id, member: the tags and entity keys of each concept, distinct."""
+def concept_lists(concepts: DataFrame) -> DataFrame:
+    """concept_id, members: the tags and entity keys of each row, as a list."""
     tags = F.from_json("tags", "array<string>")
     entities = F.from_json("entities", "array<struct<name:string,kind:string>>")
     keys = F.transform(F.filter(entities, lambda e: e["name"].isNotNull()), lambda e: F.concat(F.lower(F.coalesce(e["kind"], F.lit(""))), F.lit(":"), clean_member(e["name"])))
     members = F.concat(F.transform(F.coalesce(tags, F.array().cast("array<string>")), clean_member), F.coalesce(keys, F.array().cast("array<string>")))
-    rows = concepts.filter(F.col("concept_id").isNotNull()).select("concept_id", F.explode(members).alias("member"))
-    return rows.filter(F.col("member").isNotNull() & (F.col("member") != "") & ~F.endswith("member", F.lit(":"))).distinct()
+    kept = F.filter(members, lambda m: m.isNotNull() & (m != "") & ~F.endswith(m, F.lit(":")))
+    return concepts.filter(F.col("concept_id").isNotNull()).select("concept_id", kept.alias("members"))
+
+
+def concept_sets(concepts: DataFrame) -> DataFrame:
+    """concept_id, member: the tags and entity keys of each concept, distinct."""
+    return concept_lists(concepts).select("concept_id", F.explode("members").alias("member")).distinct()
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -133,28 +147,36 @@ def node_pairs(sets: list[np.ndarray], seed: int, threshold: float, brute: int =
         sizes = np.array([len(sets[r]) for r in rows])
         flat = np.concatenate([sets[r] for r in rows])
         owner = np.repeat(np.arange(len(rows)), sizes)
-        chosen = _mix(flat, path) < 1 / (threshold * np.repeat(sizes, sizes))
-        flat, owner = flat[chosen], owner[chosen]
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        cuts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True]) if len(flat) else np.array([0])
+        tokens, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+        everywhere = times == len(rows)  # parts nothing
+        needed = np.ceil(threshold * sizes - 1e-9) - everywhere.sum()
+        # rows that need no other shared token are compared with each other; with the rest, they share what the rest needs
+        stack.append((rows[needed <= 0], path, 0))
+        if (needed <= 0).all():
+            continue
+        chosen = (_mix(tokens, path)[where] < 1 / np.maximum(needed, 1)[owner]) & ~everywhere[where]
+        where, owner = where[chosen], owner[chosen]
+        order = np.argsort(where, kind="stable")
+        where, owner = where[order], owner[order]
+        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(where) else np.array([0])
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s > 1:
-                child = (path * 6364136223846793005 + int(flat[s]) * 2 + 1) & (1 << 64) - 1
-                # a split that does not part its rows is the last
-                stack.append((rows[owner[s:e]], child, left - 1 if e - s < len(rows) else 0))
+                child = (path * 6364136223846793005 + int(tokens[where[s]]) * 2 + 1) & (1 << 64) - 1
+                stack.append((rows[owner[s:e]], child, left - 1))
 
 
-def _nodes(threshold: float):
-    """Batches sorted by node -> similar pairs; one node is held at a time."""
+def _nodes(threshold: float, trees: int):
+    """Batches sorted by node -> similar pairs; one node is held at a time. A large node of the root is split in so many trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, sets = None, [], []
+        current, ids, sets, root = None, [], [], False
         out: tuple[list, list, list, list] = ([], [], [], [])
 
         def close() -> None:
-            if len(ids) > 1:
-                for i, j, shared, united in node_pairs(sets, current, threshold):
+            if len(ids) < 2:
+                return
+            for tree in range(trees if root and len(ids) > BRUTE else 1):
+                for i, j, shared, united in node_pairs(sets, current + tree * 0x9E3779B97F4A7C15, threshold):
                     a, b = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
                     out[0].append(a), out[1].append(b), out[2].append(shared), out[3].append(united)
 
@@ -168,12 +190,13 @@ def _nodes(threshold: float):
 
         for batch in batches:
             nodes, sids = batch.column("node").to_pylist(), batch.column("sid").to_pylist()
+            roots = batch.column("root").to_pylist()
             tokens = batch.column("tokens")
             offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
             for k, node in enumerate(nodes):
                 if node != current:
                     close()
-                    current, ids, sets = node, [], []
+                    current, ids, sets, root = node, [], [], roots[k]
                 ids.append(sids[k])
                 sets.append(flat[offsets[k] : offsets[k + 1]])
             sets = [s.copy() for s in sets]  # not the whole batch
@@ -201,47 +224,75 @@ def _tile(threshold: float):
 
 
 def set_classes(members: DataFrame, key: str, member: str) -> tuple[DataFrame, DataFrame]:
-    """(sid, tokens) of each distinct set, and (sid, key): which records hold it."""
-    rows = members.filter(F.col(key).isNotNull() & F.col(member).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(F.xxhash64(member))).alias("tokens"))
+    """(sid, tokens) of each distinct set, and (sid, key): which records hold it. ``member``: a member or a list of them."""
+    rows = members.filter(F.col(key).isNotNull() & F.col(member).isNotNull())
+    if isinstance(members.schema[member].dataType, ArrayType):
+        tokens = F.transform(F.filter(member, lambda m: m.isNotNull()), lambda m: F.xxhash64(m))
+        rows = rows.select(key, F.array_sort(F.array_distinct(tokens)).alias("tokens")).filter(F.size("tokens") > 0)
+        rows = rows.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("tokens"))
+    else:
+        rows = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.xxhash64(member))).alias("tokens"))
     rows = cut(rows.select(key, "tokens", F.unhex(F.md5(F.array_join(F.col("tokens").cast("array<string>"), ","))).alias("sid")))
     return rows.groupBy("sid").agg(F.first("tokens").alias("tokens")), rows.select("sid", key)
 
 
-def _chosen(tokens: Column, path: Column, threshold: float, seed: int) -> Column:
-    return F.filter(tokens, lambda t: F.pmod(F.xxhash64(t, path, F.lit(seed)), F.lit(_UNIT)) * threshold * F.size(tokens) < _UNIT)
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if is_small(rows) else rows
 
 
-def class_pairs(classes: DataFrame, threshold: float, recall: float = RECALL, node_rows: int = NODE_ROWS, levels: int = LEVELS, seed: int = 5) -> DataFrame:
+def marked_classes(classes: DataFrame, threshold: float, rare: int = BRUTE) -> DataFrame:
+    """sid, tokens, needed, lead, frequent: of each class the tokens that a similar set shares, at least; the rare tokens (those of
+    at most ``rare`` classes) that make nodes; the others, by their number, where they alone can make it similar to another, else null."""
+    counts = cut(classes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") > rare))
+    marks = classes.select("sid", F.explode("tokens").alias("token")).join(_small(counts), "token")
+    marks = marks.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("count", "token")))["token"].alias("frequent"))
+    rows = classes.join(marks, "sid", "left").withColumn("frequent", F.coalesce("frequent", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("needed", F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9).cast("int"))
+    lead = F.slice(F.array_except("tokens", "frequent"), F.lit(1), F.greatest(F.size("tokens") - F.col("needed") + 1, F.lit(0)))
+    return rows.select("sid", "tokens", "needed", lead.alias("lead"), F.when(F.size("frequent") >= F.col("needed"), F.col("frequent")).alias("frequent"))
+
+
+def class_pairs(classes: DataFrame, threshold: float, recall: float = RECALL, node_rows: int = NODE_ROWS, levels: int = LEVELS, seed: int = 5, rare: int = BRUTE) -> DataFrame:
     """a < b (sid), shared, united: pairs of classes of Jaccard similarity ``threshold`` or more."""
-    repeats = trees_for(recall, 1 + levels + DEPTH)
-    trees = classes.select("sid", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("path"))
+    repeats = trees_for(recall, levels + DEPTH)
+    marked = cut(marked_classes(classes, threshold, min(rare, BRUTE)))
+    rows = marked.select("sid", "tokens", F.lit(True).alias("root"), F.explode("lead").alias("node"))
+    first = F.slice("frequent", F.lit(1), F.size("frequent") - F.col("needed") + 1)
+    nodes = marked.filter(F.col("frequent").isNotNull()).select("sid", "tokens", "needed", "frequent", F.posexplode(first).alias("at", "node"))
+    # the pairs of a node share no token before it
+    rest = F.slice("frequent", F.col("at") + 2, F.size("frequent"))
+    nodes = nodes.select("sid", "tokens", F.lit(True).alias("root"), (F.col("needed") - 1).alias("needed"), rest.alias("rest"), "node")
 
     def split(rows: DataFrame) -> DataFrame:
-        rows = rows.select("sid", "tokens", "path", F.explode(_chosen(F.col("tokens"), F.col("path"), threshold, seed)).alias("token"))
-        return rows.select("sid", "tokens", F.xxhash64("path", "token", F.lit(seed)).alias("node"))
-
-    nodes, found = split(trees), []
-    large = cut(nodes.groupBy("node").count().filter(F.col("count") > node_rows))
-    for _ in range(levels):
+        part = F.pmod(F.xxhash64(F.col("token"), "node", F.lit(seed)), F.lit(_UNIT)) * F.col("needed") < _UNIT
+        # sets that need no more shared tokens are one child, too
+        rows = rows.withColumn("choice", F.when(F.col("needed") <= 0, F.concat("rest", F.array(F.lit(None).cast("bigint")))).otherwise(F.col("rest")))
+        rows = rows.select("sid", "tokens", "needed", "rest", "node", F.explode("choice").alias("token")).filter(part)
+        rest = F.filter("rest", lambda t: ~t.eqNullSafe(F.col("token")))
+        return rows.select("sid", "tokens", F.lit(False).alias("root"), (F.col("needed") - 1).alias("needed"), rest.alias("rest"), F.xxhash64("node", "token", F.lit(seed)).alias("node"))
+
+    for level in range(levels + 1):
+        large = cut(nodes.groupBy("node").count().filter(F.col("count") > node_rows))
         if large.isEmpty():
             break
-        found.append(nodes.join(large.select("node"), "node", "left_anti"))
-        nodes = split(nodes.join(large.select("node"), "node", "left_semi").withColumnRenamed("node", "path"))
-        large = cut(nodes.groupBy("node").count().filter(F.col("count") > node_rows))
+        large = _small(large)
+        rows = rows.unionByName(nodes.join(large.select("node"), "node", "left_anti").select(rows.columns))
+        if level < levels:
+            nodes = nodes.join(large.select("node"), "node", "left_semi")
+            if not level:
+                trees = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
+                nodes = nodes.withColumn("tree", trees).withColumn("node", F.xxhash64("node", "tree", F.lit(seed))).drop("tree")
+            nodes = split(nodes)
     tiles = None
-    if not large.isEmpty():
-        found.append(nodes.join(large.select("node"), "node", "left_anti"))
+    if large.isEmpty():
+        rows = rows.unionByName(nodes.select(rows.columns))
+    else:
         counted = nodes.join(large.withColumn("blocks", F.ceil(F.col("count") / node_rows)).select("node", "blocks"), "node")
         counted = counted.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
         counted = counted.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         counted = counted.select("node", "sid", "tokens", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         tiles = counted.groupBy("node", "low", "high").applyInArrow(_tile(threshold), _PAIRS)
-    else:
-        found.append(nodes)
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    pairs = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(threshold), _PAIRS)
+    pairs = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(threshold, trees_for(recall, DEPTH)), _PAIRS)
     return (pairs.unionByName(tiles) if tiles is not None else pairs).distinct()
 
 

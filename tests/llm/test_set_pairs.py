@@ -81,3 +81,39 @@ def test_trees_reach_the_recall_at_the_threshold(depth):
         kept += any(together(b[:6], b, seed, 0.6, depth) for seed in range(trees))
     assert kept >= 0.93 * 300 and trees <= 20
     assert [sp.trees_for(r, 7) for r in (0.5, 0.9, 0.95, 0.99)] == sorted(sp.trees_for(r, 7) for r in (0.5, 0.9, 0.95, 0.99))
+
+
+def test_the_root_is_exact(spark, members):
+    """Pairs that share a rare token do not depend on the trees."""
+    sets, rows = members
+    got = {(r["id_a"], r["id_b"]) for r in sp.similar_records(rows, "id", recall=0.01).collect()}
+    assert got == brute(sets, 0.6)
+
+
+@pytest.mark.parametrize("options", [{}, {"node_rows": 120}, {"node_rows": 25, "levels": 1}, {"node_rows": 25}, {"node_rows": 40, "levels": 0}, {"node_rows": 20, "levels": 4}])
+def test_sets_of_frequent_members_only(spark, options):
+    rng = random.Random(9)
+    sets = {f"r{i:04}": {f"t{int(rng.random() ** 2 * 22)}" for _ in range(rng.choice((1, 2, 2, 3, 5, 8, 12)))} for i in range(900)}
+    want = brute(sets, 0.6)
+    rows = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()] + [("r0000", [None]), ("r0001", None), ("r0002", []), (None, ["t1"])], "id string, members array<string>")
+    got = [(r["id_a"], r["id_b"]) for r in sp.similar_records(rows, "id", "members", rare=0, **options).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.95 * len(want)
+    assert options.get("levels") != 0 or len(got) == len(want)
+
+
+def test_a_member_of_all_rows_parts_nothing(monkeypatch):
+    """A node is not compared as a whole because all its sets share some tokens."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.r_[1, 2, rng.integers(10, 2000, 8)]) for _ in range(1500)]
+    sizes, compare = [], sp.brute_pairs
+    monkeypatch.setattr(sp, "brute_pairs", lambda rows, *rest: sizes.append(len(rows)) or compare(rows, *rest))
+    for seed in range(20):
+        list(sp.node_pairs(sets, seed, 0.6))
+    assert max(sizes) < 500
+
+
+def test_lists_are_the_same_sets(spark):
+    rows = [("a", '["X  y", " x Y", null, ""]', '[{"name": " Bob  B", "kind": "Person"}]'), ("b", '["x y", "q"]', None), ("b", '["q", "x y"]', '[{"name": "bob b", "kind": "person"}]'), ("c", None, None)]
+    table = spark.createDataFrame(rows, "concept_id string, tags string, entities string")
+    want = sorted(map(tuple, sp.similar_records(sp.concept_sets(table), "concept_id").collect()))
+    assert sorted(map(tuple, sp.similar_records(sp.concept_lists(table), "concept_id", "members").collect())) == want and [w[:2] for w in want] == [("a", "b")]
