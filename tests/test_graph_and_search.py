@@ -129,3 +129,29 @@ def test_sharing_pairs_meet_once_however_many_share_a_term(spark):
     for held in (1_000, 7):
         assert sorted(map(tuple, bundle.sharing_pairs(edges, "tag", held=held).collect())) == want
     assert bundle.sharing_pairs(edges.limit(0), "tag").count() == 0
+
+
+def _shuffled(node):
+    """Rows that the exchanges of an executed plan wrote."""
+    name, metrics = node.getClass().getSimpleName(), node.metrics()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(node.finalPhysicalPlan())
+    below = [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+    own = metrics.apply("shuffleRecordsWritten").value() if metrics.contains("shuffleRecordsWritten") else 0
+    return own + sum(map(_shuffled, below))
+
+
+def test_sharing_pairs_shuffle_a_concept_once_for_a_term_of_thousands(spark):
+    n = 2_500
+    edges = spark.range(n).selectExpr("concat('c', id) AS concept_id", "'common' AS tag")
+    rows = bundle.sharing_pairs(edges, "tag").groupBy().count()
+    assert rows.collect()[0][0] == n * (n - 1) // 2
+    assert _shuffled(rows._jdf.queryExecution().executedPlan()) < 3 * n
+
+
+def test_sharing_pairs_of_parts_meet_in_either_order(spark):
+    sets = {f"c{k % 7}-{k}": {"x", "y"} if k % 3 else {"w", "y", "z", "zz", "x"} for k in range(60)}
+    edges = spark.createDataFrame([(c, t) for c, ts in sets.items() for t in ts] * 2, "concept_id string, tag string")
+    want = sorted((a, b, sorted(sets[a] & sets[b])[:3]) for a in sets for b in sets if a < b)
+    for held in (1, 9):
+        assert sorted(map(tuple, bundle.sharing_pairs(edges, "tag", held=held).collect())) == want
